@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from markbook.llm import chat, langid, simhash, tokenbin
+from markbook.llm import chat, imatch, langid, simhash, tokenbin
 from markbook.session import importable
 
 
@@ -27,6 +27,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_table(table(spark, sf_dir, "documents"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 

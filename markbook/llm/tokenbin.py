@@ -19,6 +19,7 @@ ordered by text; an empty table writes no shard and returns no row; other column
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -37,35 +38,102 @@ from markbook.llm.storage import new_folder, written
 
 MAGIC = b"MKBTOK01"
 FOOT = "<BQQQqQQ8s"  # id width, documents, ids, null doc ids, smallest doc id, bytes of boundaries and of doc ids
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
+MARKS = b".,!|;:?"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
 class WordEncoder:
-    """ids of whole texts, as bytes of ``width`` an id."""
+    """ids of whole texts, as bytes of ``width`` an id.
+
+    Words go through the tokenizer whole, but for Latin words with or without marks after them: there the
+    normaliser only folds case and the splitter parts letters from marks, so the letters go to the same merges
+    without those two steps, many at a time.
+    """
 
     def __init__(self, tokenizer: str, keep: int = KEPT_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer)
+        plain = json.loads(self.tok.to_str())
+        self.direct = None
+        if folds_words(plain):
+            self.direct = Tokenizer.from_str(json.dumps(plain | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            suffix = plain["model"]["end_of_word_suffix"]
+            self.last = np.zeros(self.tok.get_vocab_size(), bool)
+            self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.kind, self.keep, self.known = f"<u{self.width}", keep, {}
+        self.kind, self.keep = f"<u{self.width}", keep
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _stems(self, stems: list[str]) -> None:
+        for i in range(0, len(stems), 512):
+            part = stems[i : i + 512]
+            e = self.direct.encode_batch_fast([" ".join(s if s.isascii() else byte_letters(s) for s in part)], add_special_tokens=False)[0]
+            ids = np.array(e.ids, self.kind)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()  # the last piece of a word has the suffix
+            data = ids.tobytes()
+            self.stems.update((s, data[b:e]) for s, b, e in zip(part, [0, *ends], ends, strict=False))
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        other, parted = [], []
+        for w in fresh:
+            body = w.rstrip(MARKS)
+            stem = body.decode().lower()
+            if self.direct is not None and stem.isalpha() and (stem.isascii() or latin(body.decode(), stem)):
+                parted.append((w, stem, w[len(body) :]))
+            else:
+                other.append(w)
+        if len(self.stems) > self.keep:
+            self.stems.clear()
+        self._stems(list({s for _, s, _ in parted if s not in self.stems}))
+        new = [m for m in {m for _, _, m in parted} if m not in self.marks]
+        if len(self.marks) > self.keep:
+            self.marks.clear()
+            new = list({m for _, _, m in parted})
+        self.marks.update(zip(new, self._whole(new)))
+        self.known.update((w, self.stems[s] + self.marks[m]) for w, s, m in parted)
+        self.known.update(zip(other, self._whole(other)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
+        if len(self.known) > self.keep:
+            self.known.clear()
         known = self.known
-        fresh = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(fresh) > self.keep:
-            known.clear()
-            fresh = list({w for ws in words for w in ws})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.kind).tobytes()
+        self._learn(list(set().union(*words).difference(known)))
         return [b"".join([known[w] for w in ws]) for ws in words]
 
 
+def folds_words(plain: dict) -> bool:
+    """Whether a tokenizer (as parsed JSON) only composes, folds and splits words before byte-level merges."""
+    steps = [x["type"] for x in (plain.get("normalizer") or {}).get("normalizers", [])]
+    model = plain["model"]
+    if not model.get("end_of_word_suffix") or model.get("byte_fallback") or model.get("dropout"):
+        return False
+    return steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in (plain.get("pre_tokenizer") or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
+
+
+def latin(word: str, folded: str) -> bool:
+    """Letters below U+0250 that fold one to one; those are composed as they stand."""
+    return max(word) < "\u0250" and len(word) == len(folded)
+
+
+def byte_letters(text: str) -> str:
+    """The letters by which byte-level merges name the bytes of ``text``: printable Latin-1 stands for itself."""
+    if not _LETTERS:
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = [b for b in range(256) if b not in set(own)]
+        _LETTERS.update({b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)})
+    return text.encode().decode("latin-1").translate(_LETTERS)
+
+
+_LETTERS: dict[int, int] = {}
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

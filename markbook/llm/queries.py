@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from markbook.llm import chat, imatch, langid, simhash, tokenbin
+from markbook.llm import chat, imatch, langid, ppm, simhash, tokenbin
 from markbook.session import importable
 
 
@@ -35,6 +35,10 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -205,4 +205,4 @@ def identify(docs: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.1) -> DataFrame:
     """The documents that read as some learned language: their score is ``least`` or more. All columns stay."""
     model = train(docs)
-    return predict(docs, model, keep=tuple(docs.columns)).where(F.col("score") >= least)
+    return predict(docs, model, keep=tuple(docs.columns)).where(F.col("score") >= least).select(*docs.columns)

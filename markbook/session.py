@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +17,10 @@ def importable(spark: SparkSession) -> SparkSession:
     if HOME not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (path, HOME) if x)
     return spark
+
+
+def checkpointing(spark: SparkSession) -> SparkSession:
+    """Sees that ``checkpoint()`` has a folder: that of ``spark.checkpoint.dir``, a temporary one only where it is unset."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="markbook-"))
+    return spark

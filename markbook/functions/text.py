@@ -230,4 +230,4 @@ def transliterate(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """X13 over a column, in Arrow batches; each distinct name of a batch is spelt once."""
     for s in names:
         seen = {x: devanagari_name(x) for x in s.dropna().unique()}
-        yield s.map(seen).where(s.notna(), None)
+        yield pd.Series([seen.get(x) for x in s], index=s.index, dtype=object)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markbook.functions import extract as E
-from markbook.functions.numbers import grade_points, split_ratio
+from markbook.functions.numbers import grade_points, number, percent_or, split_ratio
 from markbook.operators.filters import NOISE, content_lines
 from markbook.operators.joins import lookup
 from markbook.operators.reshape import exploded, zipped
@@ -35,7 +35,7 @@ def students(lines: DataFrame, phrases: Sequence[str] = NOISE) -> DataFrame:
     made = F.transform(lists, lambda s: F.struct(s["codes"].alias("code"), s["internal"].alias("internal"), s["theory"].alias("theory"), E.total_segment(s["totals"]).alias("t"), s["points"].alias("cg")))
     held = F.col("h.abeyance")
     return rows.select(
-        "doc", "block", "h.*", F.when(held, F.array().cast(rows.select(made.alias("m")).schema["m"].dataType)).otherwise(made).alias("subjects"), "semesters", "marks", "percentage", "total_credit", "total_cg", "cgpa", "final_grade",
+        "doc", "block", "h.*", F.when(held, F.array().cast(rows.select(made.alias("m")).schema["m"].dataType)).otherwise(made).alias("subjects"), "semesters", "marks", percent_or(F.col("percentage"), number(F.col("marks.obtained")), number(F.col("marks.largest"))).alias("percentage"), "total_credit", "total_cg", "cgpa", "final_grade",
         "cumulative_percentage", F.when(held, E.ABEYANCE).otherwise(F.col("result")).alias("result"), F.when(held, "").otherwise(F.col("grade")).alias("grade"), F.when(held, E.ABEYANCE).otherwise(F.col("eligibility")).alias("eligibility"),
     )
 

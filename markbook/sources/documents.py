@@ -28,7 +28,7 @@ def spreadsheet_xml(spark: SparkSession, path: str) -> DataFrame:
     kind = "Row array<struct<Cell: array<struct<`_ss:Index`: int, `_ss:MergeAcross`: int, `_ss:MergeDown`: int, Data: struct<_VALUE: string>>>>>"
     tables = spark.read.schema(kind).format("xml").option("rowTag", "Table").load(path).limit(1)
     rows = tables.select(F.posexplode("Row").alias("row", "r")).select("row", F.col("r.Cell").alias("c"))
-    cells = F.transform("c", lambda x: F.struct(x["`_ss:Index`"].alias("index"), x["`_ss:MergeAcross`"].alias("span")))
+    cells = F.transform("c", lambda x: F.struct(x["_ss:Index"].alias("index"), x["_ss:MergeAcross"].alias("span")))
     zipped = rows.select("row", F.explode(F.arrays_zip(F.col("c").alias("c"), cell_positions(cells).alias("at"))).alias("z"))
     span = lambda n: F.coalesce(F.col(f"z.c.`_ss:{n}`"), F.lit(0))
     return zipped.select("row", F.col("z.at").alias("column"), F.coalesce(F.col("z.c.Data._VALUE"), F.lit("")).alias("text"), span("MergeAcross").alias("merge_across"), span("MergeDown").alias("merge_down"))
@@ -38,7 +38,7 @@ def column_widths(spark: SparkSession, path: str) -> DataFrame:
     """(column, width) from the column elements, spans repeated."""
     kind = "Column array<struct<`_ss:Index`: int, `_ss:Span`: int, `_ss:Width`: double>>"
     columns = spark.read.schema(kind).format("xml").option("rowTag", "Table").load(path).limit(1).select(F.col("Column").alias("c"))
-    cells = F.transform("c", lambda x: F.struct(x["`_ss:Index`"].alias("index"), x["`_ss:Span`"].alias("span")))
+    cells = F.transform("c", lambda x: F.struct(x["_ss:Index"].alias("index"), x["_ss:Span"].alias("span")))
     each = columns.select(F.explode(F.arrays_zip(F.col("c").alias("c"), cell_positions(cells).alias("at"))).alias("z"))
     every = F.explode(F.sequence(F.col("z.at"), F.col("z.at") + F.coalesce(F.col("z.c.`_ss:Span`"), F.lit(0))))
     return each.select(every.alias("column"), F.col("z.c.`_ss:Width`").alias("width"))

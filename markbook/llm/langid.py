@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from markbook.llm.arrowtools import pieces
 
@@ -186,8 +187,7 @@ def _predictor(model: Model):
 def predict(rows: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with lang_pred and score of every row."""
     picked = rows.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1]), "lang_pred string", "score double"]
-    return picked.mapInArrow(_predictor(model), ", ".join(schema))
+    return picked.mapInArrow(_predictor(model), StructType([*picked.schema[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -205,4 +205,5 @@ def identify(docs: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.1) -> DataFrame:
     """The documents that read as some learned language: their score is ``least`` or more. All columns stay."""
     model = train(docs)
-    return predict(docs, model, keep=tuple(docs.columns)).where(F.col("score") >= least).select(*docs.columns)
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text")
+    return predict(rows, model, keep=("row",)).where(F.col("score") >= least).select("row.*")

@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from markbook.llm.arrowtools import as_bytes, pieces
 from markbook.llm.storage import written
 
 BUCKETS = 1 << 16
-MOST_LABELLED = 20_000
+MOST_LABELLED = 12_000
 TARGETS = {"good": 0.84, "plain": 0.15, "toxic": 0.01}
 STEPS, CLOSE, HEADROOM = 60, 1e-3, 1.05
 
@@ -86,9 +87,9 @@ def posterior(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, 1, 4 << 20):
-            x = [buckets(t)[0].tolist() for t in as_bytes(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.int32()))], names=["domain", "x"])
+        for part in pieces(batch, 2, 4 << 20):
+            x = [buckets(t)[0] for t in as_bytes(part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.list_(pa.int32()))], names=["place", "domain", "x"])
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], most_labelled: int = MOST_LABELLED) -> np.ndarray:
@@ -96,9 +97,12 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], most_la
     picked = labelled.where("doc_id is not null and domain is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = texts.join(F.broadcast(picked.select(F.col("doc_id").cast("long").alias("doc_id"), "domain")), "doc_id")  # at most most_labelled rows
-    got = rows.select("domain", "text").mapInArrow(_features, "domain string, x array<int>").collect()
-    place = {d: i for i, d in enumerate(domains)}
-    return fit([(np.array(r.x, np.int32), place[r.domain]) for r in sorted(got, key=lambda r: (r.x, r.domain)) if r.domain in place], len(domains))
+    got = rows.select(F.xxhash64("doc_id").alias("place"), "domain", "text").mapInArrow(_features, "place long, domain string, x array<int>").toArrow()
+    order = np.argsort(got.column("place").to_numpy(), kind="stable")
+    x = got.column("x").combine_chunks()
+    at, flat = x.offsets.to_numpy(), x.values.to_numpy()
+    names, place = got.column("domain").to_pylist(), {d: i for i, d in enumerate(domains)}
+    return fit([(flat[at[i] : at[i + 1]], place[names[i]]) for i in order if names[i] in place], len(domains))
 
 
 def _predictor(shared):
@@ -119,8 +123,7 @@ def memberships(rows: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFr
     """``keep``, n_tokens, p (posterior by domain) of every row."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
     picked = rows.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1]), "n_tokens long", "p array<double>"])
-    return picked.mapInArrow(_predictor(shared), schema)
+    return picked.mapInArrow(_predictor(shared), StructType([*picked.schema[:-1], StructField("n_tokens", LongType()), StructField("p", ArrayType(DoubleType()))]))
 
 
 def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -187,8 +190,7 @@ def _rater(steps: list[np.ndarray], k: int):
 
 def rated(members: DataFrame, steps: list[np.ndarray], k: int) -> DataFrame:
     """``members`` with ``rate``; the posterior is its last column."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema), "rate double"])
-    return members.mapInArrow(_rater(steps, k), schema)
+    return members.mapInArrow(_rater(steps, k), StructType([*members.schema, StructField("rate", DoubleType())]))
 
 
 def copies(rate: Column, *seed: Column) -> Column:
@@ -217,6 +219,7 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **options) -> DataFrame:
     """Every document as often as its copies say; the columns of ``docs``."""
-    rates, _ = _rates(docs, labels, docs.columns, targets, **options)
-    times = copies(F.col("rate"), F.col("doc_id"), F.col("text")).cast("int")
-    return rates.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "doc_id", "text")
+    rates, _ = _rates(rows, labels, ["row"], targets, **options)
+    times = copies(F.col("rate"), F.col("row.doc_id"), F.col("row.text")).cast("int")
+    return rates.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")

@@ -188,6 +188,16 @@ def group_label(columns: Sequence[str]) -> Column:
     return F.concat_ws(" | ", *(F.concat(F.lit(f"{c}:"), text(F.col(c))) for c in columns))
 
 
+def paper_line(subject: Column, semester: Column, sep: str = " | ") -> Column:
+    """What a paper is, as one line."""
+    return F.array_join(F.filter(F.array(strip(subject), F.when(blank(semester), "").otherwise(F.concat(F.lit("Semester "), strip(semester)))), lambda x: x != ""), sep)
+
+
+def file_name(subject: Column, semester: Column, suffix: str = ".xlsx") -> Column:
+    """A file name for a paper: forbidden characters out, white space as ``_``."""
+    return F.concat(F.regexp_replace(strip(F.regexp_replace(paper_line(subject, semester, " "), r"[\\/*?:\"<>|\[\]]", " ")), r"\s+", "_"), F.lit(suffix))
+
+
 def month_text(c: Column) -> Column:
     """Comma to space, ``nan`` to blank."""
     s = strip(F.regexp_replace(F.replace(text(c), F.lit(","), F.lit(" ")), r"\s+", " "))

@@ -118,3 +118,9 @@ def test_remark_line(spark):
     assert [(x.semester, x.credits, x.sgpa, x.fails) for x in s] == [("I", "20", "9.0", ""), ("II", "18", "", "F(2)")]
     df = spark.createDataFrame([(text,)], "t string").select(*(c.alias(k) for k, c in E.final_metrics(F.col("t")).items())).first()
     assert (df.cgpa, df.final_grade, df.grade, df.total_credit, df.result, df.eligibility) == ("8.5", "A+", "B+", "38", "Successful", "Eligible for next semester")
+
+
+def test_paper_texts(spark):
+    df = spark.createDataFrame([("Law: Part/1", "II"), ("Law", None)], "a string, b string")
+    got = df.select(X.paper_line(F.col("a"), F.col("b")).alias("l"), X.file_name(F.col("a"), F.col("b")).alias("f")).collect()
+    assert [tuple(r) for r in got] == [("Law: Part/1 | Semester II", "Law_Part_1_Semester_II.xlsx"), ("Law", "Law.xlsx")]

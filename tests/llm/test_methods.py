@@ -302,6 +302,19 @@ def test_base_score(spark, texts, share):
         assert abs(r.base_score - want) < 1e-6 * abs(want) and r.score < 0
 
 
+def test_ppm_keeps_every_gram(spark, texts):
+    ids = sorted(texts)[:50]
+    some = {d: b" ".join(texts[d].encode().lower().split()[:60]).decode() for d in ids}
+    docs = spark.createDataFrame([*some.items(), (None, "never seen: \u4e2d\u6587 qzx")], "doc_id long, text string")
+    coded = {d: ppm.coded(t.encode().lower().split()) for d, t in {**some, None: "never seen: \u4e2d\u6587 qzx"}.items()}
+    train = [coded[d] for d in ids if zlib.crc32(str(d).encode()) % 10]
+    got = {r.doc_id: r.score for r in ppm.score(docs, least_share=0.001).collect()}
+    checked = [d for d in ids if not zlib.crc32(str(d).encode()) % 10] + ids[:4] + [None]
+    for d in checked:
+        assert abs(got[d] - ppm_brute(train, coded[d])) < 1e-6 * abs(got[d])
+    assert all(abs(got[r.doc_id] - r.score) < 1e-3 for r in ppm.score(docs).collect())
+
+
 def line_brute(texts, least=0.8, size=linededup.SIZE):
     where = {}
     for d in sorted(texts):

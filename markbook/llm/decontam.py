@@ -2,10 +2,9 @@
 
 A spaced seed is a mask over SPAN neighbouring tokens that reads some and ignores the rest, so two passages meet in a
 seed although tokens at ignored places were replaced. Every window of every document and benchmark item is hashed under
-every mask; equal hashes are hits. Around a hit the item is laid over the document at that offset, and the stretch with
-the best score (a point for an equal token, less ``COST`` for a replaced one) is the overlap. A document is contaminated
-by an item if the overlap has ``least_equal`` equal tokens (or all of a shorter item) and ``least_share`` of its tokens
-are equal.
+every mask; equal hashes are hits. Around a hit the item is laid over the document at that offset, and of all stretches
+with ``least_share`` equal tokens the one with the most equal tokens is the overlap. A document is contaminated by an item
+if the overlap has ``least_equal`` equal tokens (or all of a shorter item).
 
 Tokens are runs of letters and digits, folded, as 64-bit hashes. Items shorter than SPAN are looked for whole. The
 item side of a join is broadcast after a check of its rows, else both sides are shuffled.
@@ -24,7 +23,6 @@ from markbook.llm.storage import written
 # The masks, each over 12 tokens, reading 6; of 16 tokens with three replaced at most, this pair meets 99.8 % (simulated).
 MASKS = ("101001000111", "110001101001")
 SPAN = 12
-COST = 2
 LEAST_EQUAL, LEAST_SHARE = 13, 0.8
 MOST_BROADCAST = 1_000_000
 
@@ -68,19 +66,25 @@ def hits(docs: DataFrame, items: DataFrame, most_broadcast: int) -> DataFrame:
     return out.distinct()
 
 
-def overlap(doc: Column, item: Column, shift: Column) -> Column:
-    """struct(first, last) of the best stretch of item places when the item lies at ``shift``; last < first: none."""
-    zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("start"), F.lit(0).alias("best"), F.lit(0).alias("first"), F.lit(-1).alias("last"))
+def equal_places(doc: Column, item: Column, shift: Column) -> Column:
+    """array<boolean>: whether each item token equals the document's when the item lies at ``shift``."""
+    return F.transform(item, lambda x, j: F.coalesce(F.get(doc, j + shift) == x, F.lit(False)))
 
-    def step(s: Column, j: Column) -> Column:
-        gain = F.when(F.get(doc, j + shift) == F.get(item, j), 1).otherwise(-COST)
-        fresh = s["run"] <= 0
-        run, start = F.when(fresh, gain).otherwise(s["run"] + gain), F.when(fresh, j).otherwise(s["start"])
-        better = run > s["best"]
-        keep = lambda new, old: F.when(better, new).otherwise(s[old]).alias(old)
-        return F.struct(run.alias("run"), start.alias("start"), keep(run, "best"), keep(start, "first"), keep(j, "last"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), zero, step)
+def overlap(equal: Column, least_share: float) -> Column:
+    """struct(n_equal, less, before) of the stretch with the most equal tokens of those with ``least_share`` equal.
+
+    less: its tokens, negative; before: its first place, negative. The best stretch starts and ends with a whole run of
+    equal tokens, so only runs are paired.
+    """
+    at = F.sequence(F.lit(0), F.size(equal) - 1)
+    is_equal = lambda j: F.coalesce(F.get(equal, j), F.lit(False))
+    upto = lambda j: F.size(F.filter(F.slice(equal, F.lit(1), j), lambda x: x))
+    starts = F.transform(F.filter(at, lambda j: is_equal(j) & ((j == 0) | ~is_equal(j - 1))), lambda j: F.struct(j.alias("at"), upto(j).alias("n")))
+    ends = F.transform(F.filter(at, lambda j: is_equal(j) & ~is_equal(j + 1)), lambda j: F.struct(j.alias("at"), upto(j + 1).alias("n")))
+    stretch = lambda s, e: F.struct((e["n"] - s["n"]).alias("n_equal"), (s["at"] - e["at"] - 1).alias("less"), (-s["at"]).alias("before"))
+    every = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(ends, lambda e: e["at"] >= s["at"]), lambda e: stretch(s, e))))
+    return F.array_max(F.filter(every, lambda x: x["n_equal"] >= -x["less"] * least_share))
 
 
 def contaminated(
@@ -94,13 +98,12 @@ def contaminated(
     near = found.join(_sized(of_item, most_broadcast // 10), F.col("item_id").eqNullSafe(F.col("item")))
     near = near.select(F.col("doc_id").alias("hit_doc"), "item_id", "shift", "item_toks")
     hinted = F.broadcast(near) if found.limit(most_broadcast // 10 + 1).count() <= most_broadcast // 10 else near
-    laid = texts.join(hinted, F.col("doc_id").eqNullSafe(F.col("hit_doc"))).withColumn("o", overlap(F.col("toks"), F.col("item_toks"), F.col("shift")))
-    first, last, shift = F.col("o.first"), F.col("o.last"), F.col("shift")
-    equal = F.when(last >= first, F.size(F.filter(F.sequence(first, F.greatest(first, last)), lambda j: F.get(F.col("toks"), j + shift) == F.get(F.col("item_toks"), j)))).otherwise(0)
-    scored = laid.select(
-        "doc_id", "item_id", (first + shift).alias("doc_token"), first.alias("item_token"), (last - first + 1).alias("n_tokens"), equal.alias("n_equal"), F.size("item_toks").alias("n_item")
+    laid = texts.join(hinted, F.col("doc_id").eqNullSafe(F.col("hit_doc"))).withColumn("equal", equal_places(F.col("toks"), F.col("item_toks"), F.col("shift")))
+    least = F.least(F.lit(least_equal), F.size("item_toks"))
+    laid = laid.where(F.size(F.filter("equal", lambda x: x)) >= least).withColumn("o", overlap(F.col("equal"), least_share))
+    kept = laid.where(F.col("o.n_equal") >= least).select(
+        "doc_id", "item_id", (F.col("shift") - F.col("o.before")).alias("doc_token"), (-F.col("o.before")).alias("item_token"), (-F.col("o.less")).alias("n_tokens"), F.col("o.n_equal").alias("n_equal")
     )
-    kept = scored.where((F.col("n_equal") >= F.least(F.lit(least_equal), F.col("n_item"))) & (F.col("n_equal") >= least_share * F.col("n_tokens")))
     order = F.struct("n_equal", (-F.col("n_tokens")).alias("a"), (-F.col("doc_token")).alias("b"), (-F.col("item_token")).alias("c"))
     best = kept.groupBy("doc_id", "item_id").agg(F.max(order).alias("m"))
     columns = {"doc_token": -F.col("m.b"), "item_token": -F.col("m.c"), "n_tokens": -F.col("m.a"), "n_equal": F.col("m.n_equal")}

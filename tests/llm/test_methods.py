@@ -131,6 +131,21 @@ def test_decontamination_against_exact_windows(spark, texts):
     assert {(r.doc_id, r.item_id) for r in queries.op5_decontam(spark, SF).collect()} >= want
 
 
+@pytest.mark.parametrize("size,replaced", [(16, 3), (20, 4)])
+def test_decontamination_reports_all_that_meet_the_rule(spark, size, replaced):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    items = [[word() for _ in range(size)] for _ in range(150)]
+    docs = []
+    for i, x in enumerate(items):
+        gone = set(rng.sample(range(size), replaced))
+        docs.append((i, " ".join([word() for _ in range(20)] + [word() if j in gone else w for j, w in enumerate(x)] + [word() for _ in range(20)])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert len(got) >= 0.95 * len(items)  # the seeds miss a few
+    assert all(r.doc_id == r.item_id and r.n_equal == size - replaced and r.n_tokens <= size for r in got)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

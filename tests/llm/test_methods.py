@@ -366,6 +366,14 @@ def test_lines_against_brute_force(spark, texts, long_bucket):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_long_lines_without_spaces(spark):
+    rng = random.Random(8)
+    lines = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)) for _ in range(40)]
+    docs = [(i, x) for i, x in enumerate(lines)] + [(100 + i, x[:200] + "\u3042" + x[201:]) for i, x in enumerate(lines)]
+    got = {r.doc_id for r in linededup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got <= set(range(100, 140)) and len(got) >= 38
+
+
 def test_cleaned_texts(spark):
     docs = spark.createDataFrame([(1, "a line of text\n\nb"), (2, "a line of text\n\nc"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in linededup.without_dropped(docs).collect()} == {1: "a line of text\n\nb", 2: "\nc", 3: None}

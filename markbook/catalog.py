@@ -515,6 +515,12 @@ def text_cleanup(t, spark):
     return t("documents").select("doc_id", X.without_rules(F.left("text", F.lit(60))).alias("head"), X.exam_type(c("source"), "src1").alias("kind"))
 
 
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '-{3,}|_{3,}|={3,}', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM documents""")
+def text_cleanup_whole(t, spark):
+    """X22 on whole texts; ``text_cleanup`` reads their heads."""
+    return t("documents").select("doc_id", X.without_rules(c("text")).alias("cleaned"))
+
+
 @query("""SELECT p_partkey, p_size || ' | ' || p_brand AS joined, 'Sem ' || p_size AS sheet, CASE WHEN p_size % 2 = 0 THEN 'UFM' ELSE 'ABSENT' END AS label, CAST(p_size AS VARCHAR) AS shown FROM part""")
 def display_texts(t, spark):
     """X18, X19, X20, X24, K18."""

@@ -351,8 +351,8 @@ def line_brute(texts, least=0.8, size=linededup.SIZE):
     return {(d, i) for x, at in where.items() for d, i in at if (d, i) != home[find_root(parent, x)]}
 
 
-@pytest.mark.parametrize("long_bucket", [1, 32])
-def test_lines_against_brute_force(spark, texts, long_bucket):
+@pytest.mark.parametrize("rounds", [3])
+def test_lines_against_brute_force(spark, texts, rounds):
     rng = random.Random(2)
     base = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(40)) for _ in range(30)) for _ in range(4)]
     some = {d: texts[d] for d in sorted(texts)[:40]}
@@ -361,17 +361,38 @@ def test_lines_against_brute_force(spark, texts, long_bucket):
         w[rng.randrange(30)] = "changed" + str(d)
         some[d] = " ".join(w) + "\n\nshort\nshort"
     docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
-    got = {(r.doc_id, i) for r in linededup.dropped_lines(docs, long_bucket=long_bucket).collect() for i in r.dropped}
+    got = {(r.doc_id, i) for r in linededup.dropped_lines(docs, rounds=rounds).collect() for i in r.dropped}
     want = line_brute(some)
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
-def test_long_lines_without_spaces(spark):
+LETTERS64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+@pytest.mark.parametrize("letters,size", [([chr(c) for c in range(0x4E00, 0x9000)], 400), (LETTERS64, 400), (LETTERS64, 90)])
+def test_long_lines_without_spaces(spark, letters, size):
     rng = random.Random(8)
-    lines = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)) for _ in range(40)]
-    docs = [(i, x) for i, x in enumerate(lines)] + [(100 + i, x[:200] + "\u3042" + x[201:]) for i, x in enumerate(lines)]
-    got = {r.doc_id for r in linededup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got <= set(range(100, 140)) and len(got) >= 38
+    lines = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(40)]
+    docs = [(i, x) for i, x in enumerate(lines)] + [(100 + i, x[: size // 2] + "\u3042" + x[size // 2 + 1 :]) for i, x in enumerate(lines)]
+    found = {r.doc_id for r in linededup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {d for d, _ in line_brute(dict(docs))}
+    assert found <= want and len(found) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("tree", [True, False])
+def test_a_drifting_group_of_lines_stays_together(spark, tree):
+    """Each line is one word away from an earlier one; the whole is one component, by links that few others double."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    lines = [[word() for _ in range(24)]]
+    while len(lines) < 300:
+        w = list(rng.choice(lines) if tree else lines[-1])
+        w[rng.randrange(24)] = word()
+        lines.append(w)
+    docs = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    got = {(r.doc_id, i) for r in linededup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() for i in r.dropped}
+    want = line_brute(dict(docs))
+    assert got <= want and len(got) >= len(want) - 2
 
 
 def test_cleaned_texts(spark):

@@ -19,8 +19,15 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def own_folder(master: str) -> str:
+    """A temporary folder for a session without ``spark.checkpoint.dir``, which only driver and executors of one machine share."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="markbook-")
+
+
 def checkpointing(spark: SparkSession) -> SparkSession:
     """Sees that ``checkpoint()`` has a folder: that of ``spark.checkpoint.dir``, a temporary one only where it is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="markbook-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark.sparkContext.master))
     return spark

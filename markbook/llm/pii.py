@@ -3,11 +3,14 @@
 The patterns (email, ip, card, phone) are matched in linear time. The field scores whole candidate segments of up to
 LONGEST tokens: features look at a segment's digits, shape, checksum and words before it, a dynamic programme over
 (segment, type) picks boundaries and types together, and weights maximise the conditional likelihood of generated
-sentences (they hold phone numbers without a plus sign, dotted card numbers, addresses with ports, secrets and keys, and
-versions, dates and prices as what to leave alone). An entity must hold a token with a digit or ``@``; tokens further
-from one than LONGEST can only be outside, so decoding the runs around such tokens decodes the whole text exactly.
+sentences (they hold phone numbers without a plus sign or in pairs of digits, dotted card numbers, addresses with ports,
+secrets and keys, and versions, dates, prices, social security and bank numbers, version-six addresses and keys of prose as
+what to leave alone). An entity must hold a marked token: one with a digit or ``@``, or a ``:`` or ``=`` after a word for
+a secret. Tokens further from one than LONGEST can only be outside, so decoding the runs around such tokens decodes the
+whole text exactly.
 
-Spans of the patterns always stay; a span of the field is added where it overlaps none of them.
+Spans of the patterns always stay; a span of the field is added where it overlaps none of them. Added ones are of the
+patterns' kinds or of the kind ``secret``.
 
 Defined cases: null text is empty and has no span; repeated rows each get a row; a null doc_id stays; an empty table gives
 an empty table; other columns are ignored.
@@ -37,7 +40,9 @@ LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 ADDED = "secret"
 TYPES = (*KINDS, ADDED)
-LONGEST = 4
+LONGEST = 5
+SECRET = r"(?:pass(?:word|wd|phrase|wort)?|pwd|secret|token|api[_-]?key|key)\w*"
+KEPT = 200_000
 EDGES = ".,;:!?|()[]{}<>\"'"
 
 
@@ -141,8 +146,10 @@ def features(s: str, before: str, size: int) -> list[str]:
         out.append("luhn" if luhn(digits) else "no luhn")
     if re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?:/[0-9]+)?", s):
         out.append("quad")
-    if re.search(r"(?i)(?:pass|pwd|token|secret|key)\w*\s*[:=]\s*\S{6}", s):
-        out.append("assigned secret")
+    if m := re.search(rf"(?i){SECRET}\s*([:=])\s*(\S{{6,}})$", s):
+        out.append(f"assigned secret {m[1]}" + (" with digits" if digits else "") + (" word" if m[2].isalpha() else ""))
+    elif re.match(rf"(?i){SECRET}\s*[:=]", s):
+        out.append("assigned and more")
     if re.search(r"\b(?:[0-9a-f]{16,}|[A-Z0-9]{16,})\b", s) and digits and re.search("[A-Za-z]", s):
         out.append("key run")
     if re.fullmatch(r"\+?[0-9() .-]*", s):
@@ -150,8 +157,16 @@ def features(s: str, before: str, size: int) -> list[str]:
     return out
 
 
-def trigger(s: str) -> bool:
-    return re.search("[0-9@]", s) is not None
+_SECRET_END = re.compile(rf"(?i){SECRET}[\s:=]*$")
+
+
+def marked(text: str, a: int, b: int) -> bool:
+    """Whether a token may be in an entity by itself."""
+    s = text[a:b]
+    if re.search("[0-9@]", s):
+        return True
+    at = max(s.rfind(":"), s.rfind("="))
+    return at >= 0 and _SECRET_END.search(text, max(0, a - 40), a + at) is not None
 
 
 class Field:
@@ -160,41 +175,55 @@ class Field:
     def __init__(self, weights: dict[tuple[int, str], float] | None = None, moves: np.ndarray | None = None):
         self.weights = weights or {}
         self.moves = moves if moves is not None else np.zeros((OUT + 1, OUT + 1))
+        self.known: dict[tuple[str, ...], list[float]] | None = None  # scores by features, once learning is over
 
     def segments(self, text: str, toks: list[tuple[int, int]]) -> list[list[tuple[int, list[str]]]]:
         """By end: (start, features) of each candidate entity."""
-        marked = [trigger(text[a:b]) for a, b in toks]
+        own = [marked(text, a, b) for a, b in toks]
         out: list[list[tuple[int, list[str]]]] = [[] for _ in range(len(toks) + 1)]
         for j in range(1, len(toks) + 1):
             for i in range(max(0, j - LONGEST), j):
-                if any(marked[i:j]):
+                if any(own[i:j]):
                     a, b = trimmed(text, toks[i][0], toks[j - 1][1])
                     if a < b:
                         before = text[slice(*toks[i - 1])] if i else ""
                         out[j].append((i, features(text[a:b], before, j - i)))
         return out
 
-    def scores(self, feats: list[str]) -> np.ndarray:
-        return np.array([sum(self.weights.get((t, f), 0.0) for f in feats) for t in range(OUT)])
+    def scores(self, feats: list[str]) -> list[float]:
+        if self.known is None:
+            return [sum(self.weights.get((t, f), 0.0) for f in feats) for t in range(OUT)]
+        key = tuple(feats)
+        if key not in self.known:
+            if len(self.known) > KEPT:
+                self.known.clear()
+            self.known[key] = [sum(self.weights.get((t, f), 0.0) for f in feats) for t in range(OUT)]
+        return self.known[key]
 
     def decode(self, text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """(type, first token, end token) of the best segmentation."""
-        n = len(toks)
-        best = np.full((n + 1, OUT + 1), -np.inf)
-        best[0, OUT] = 0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
+        n, moves = len(toks), self.moves.tolist()
+        none = float("-inf")
+        best = [[none] * (OUT + 1) for _ in range(n + 1)]
+        best[0][OUT] = 0.0
+        back: list[list[tuple[int, int]]] = [[(0, OUT)] * (OUT + 1) for _ in range(n + 1)]
+        into: list[list[tuple[float, int]]] = []  # by token and next type: the best score before it, and the type there
         for j, found in enumerate(self.segments(text, toks)):
-            if not j:
-                continue
-            for i, part in [(j - 1, None)] + [(i, self.scores(f)) for i, f in found]:
-                for y in [OUT] if part is None else range(OUT):
-                    reach = best[i] + self.moves[:, y] + (0 if part is None else part[y])
-                    p = int(reach.argmax())
-                    if reach[p] > best[j, y]:
-                        best[j, y], back[j, y] = reach[p], (i, p)
-        out, j, y = [], n, int(best[n].argmax())
+            now = best[j]
+            if j:
+                now[OUT], p = into[j - 1][OUT]
+                back[j][OUT] = (j - 1, p)
+            for i, feats in found:
+                part, reach = self.scores(feats), into[i]
+                for y in range(OUT):
+                    s = reach[y][0] + part[y]
+                    if s > now[y]:
+                        now[y], back[j][y] = s, (i, reach[y][1])
+            into.append([max((now[p] + moves[p][y], -p) for p in range(OUT + 1)) for y in range(OUT + 1)])
+            into[-1] = [(s, -p) for s, p in into[-1]]
+        out, j, y = [], n, max(range(OUT + 1), key=lambda y: best[n][y])
         while j:
-            i, p = back[j, y]
+            i, p = back[j][y]
             if y != OUT:
                 out.append((y, i, j))
             j, y = i, p
@@ -254,11 +283,11 @@ def _sum(x: np.ndarray) -> float:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Runs of text around the tokens with a digit or @: LONGEST tokens to either side, overlapping ones joined."""
+    """Runs of text around the marked tokens: LONGEST tokens to either side, overlapping ones joined."""
     out: list[list[int]] = []
     seen = 0
-    for m in re.finditer("[0-9@]+", text):
-        if m.start() < seen:
+    for m in re.finditer("[0-9@:=]+", text):
+        if m.start() < seen or (m[0].strip(":=") == "" and not _SECRET_END.search(text, max(0, m.start() - 40), m.start())):
             continue
         lo, hi = m.start(), m.end()
         back = re.compile(r"\s*\S+")
@@ -291,13 +320,14 @@ def sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     body = d(15)
     card = next(body + c for c in "0123456789" if luhn(body + c))
     makers = {
-        "phone": [lambda: f"+{r(1, 99)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(3)} {d(7)}", lambda: f"+{d(11)}", lambda: f"{d(3)}.{d(3)}.{d(4)}"],
+        "phone": [lambda: f"+{r(1, 99)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(3)} {d(7)}", lambda: f"+{d(11)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"0{r(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}"],
         "email": [lambda: f"{w()}.{r(1, 99)}@{w()}.example.com", lambda: f"{w()}@{w()}.org", lambda: f"{w()}_{w()}@{w()}.{w()}.net"],
         "ip": [lambda: ".".join(str(r(0, 255)) for _ in range(4)), lambda: ".".join(str(r(0, 255)) for _ in range(4)) + f":{r(20, 9999)}"],
         "card": [lambda: card, lambda: " ".join(card[i : i + 4] for i in range(0, 16, 4)), lambda: ".".join(card[i : i + 4] for i in range(0, 16, 4)), lambda: "-".join(card[i : i + 4] for i in range(0, 16, 4))],
-        ADDED: [lambda: f"password={hexa(18)}", lambda: f'token = "{hexa(40)}"', lambda: "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16)), lambda: f"api_key: {hexa(32)}"],
+        ADDED: [lambda: f"password={hexa(18)}", lambda: f'token = "{hexa(40)}"', lambda: "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16)), lambda: f"api_key: {hexa(32)}", lambda: f"{rng.choice(['password', 'secret', 'pwd', 'token'])}={w()}{w()}xq", lambda: f"{rng.choice(['password', 'passwd'])}: {w()}{w()}xq"],
     }
     plain = [lambda: f"{r(1, 9)}.{r(0, 9)}", lambda: f"{r(1, 9)}.{r(0, 9)}.{r(0, 9)}", lambda: str(r(1, 2100)), lambda: f"{r(1, 28)}/{r(1, 12)}/{r(1990, 2030)}", lambda: f"{r(0, 23)}:{d(2)}", lambda: f"${r(1, 900)}.{d(2)}", lambda: f"{r(1990, 2030)}-{r(10, 12)}-{r(10, 28)}", lambda: d(r(5, 9)), lambda: f"{w()}{r(1, 99)}", lambda: f"@{w()}", lambda: f"{r(1, 99)}%", lambda: d(r(20, 30)), lambda: f"{d(3)}.{d(3)}"]
+    plain += [lambda: f"ssn {d(3)}-{d(2)}-{d(4)}", lambda: "iban " + " ".join(["DE" + d(2)] + [d(4) for _ in range(4)] + [d(2)]), lambda: ":".join(hexa(4) for _ in range(8)), lambda: f"{rng.choice(['key', 'token', 'secret'])}: {w()} {w()}"]
     text, spans = "", []
     for _ in range(r(2, 4)):
         text += " ".join(w() for _ in range(r(1, 4))) + " "
@@ -316,7 +346,7 @@ def sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
 _TRAINED: dict[tuple[int, int, int], Field] = {}
 
 
-def trained(n: int = 160, epochs: int = 5, seed: int = 5) -> Field:
+def trained(n: int = 260, epochs: int = 5, seed: int = 5) -> Field:
     """The field after ``epochs`` passes over ``n`` generated sentences; made once a process."""
     key = (n, epochs, seed)
     if key not in _TRAINED:
@@ -328,6 +358,7 @@ def trained(n: int = 160, epochs: int = 5, seed: int = 5) -> Field:
                 gold = {(TYPES.index(k), next(i for i, t in enumerate(toks) if t[1] > a), next(i for i, t in enumerate(toks) if t[1] >= b) + 1) for k, a, b in spans}
                 field.learn(text, toks, gold, 0.3 / (1 + e))
         field.weights = {k: v for k, v in field.weights.items() if abs(v) > 1e-3}
+        field.known = {}
         _TRAINED[key] = field
     return _TRAINED[key]
 
@@ -336,9 +367,11 @@ def find(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tupl
     """Spans of the patterns, and all spans: those and what the field adds; by kind as listed, then start."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    more = []
-    for k, a, b in field.spans(text):
-        if not any(x < b and a < y for x, y in taken):
+    more, i, reach = [], 0, 0
+    for k, a, b in sorted(field.spans(text), key=lambda s: s[1]):  # those of the field don't overlap, so their ends are in order too
+        while i < len(taken) and taken[i][0] < b:
+            reach, i = max(reach, taken[i][1]), i + 1
+        if reach <= a:
             more.append((k, a, b))
     return base, sorted(base + more, key=lambda s: (TYPES.index(s[0]), s[1], s[2]))
 
@@ -369,8 +402,8 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts of the patterns' spans by kind, base_sha256, spans and the number of spans added."""
+    """doc_id, counts of the patterns' spans by kind, base_sha256, spans, the number of spans added and of all."""
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))

@@ -10,8 +10,8 @@ batch of texts is one matrix product. Training only sums trigram counts by langu
 to the driver is one number for each language and distinct trigram of letter classes, at most CLASSES ** 3 a
 language however large the corpus is.
 
-Letters are folded to lower case; those below U+0180 have a class each, all others share 34 classes by code
-point, and every run of other characters is one boundary.
+Letters are folded to lower case; those below U+0180 have a class each, those of every other script (``SCRIPTS``) share
+CLASSES_A_SCRIPT of its own by code point, and every run of other characters is one boundary.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; so does every text when nothing
 was learned; equal cosines go to the alphabetically first language; training rows with a null language or text
@@ -32,27 +32,26 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from markbook.llm.arrowtools import pieces
 
 DIM, N = 512, 3
-FIRST, SHARED = 0x180, 34
+FIRST, CLASSES_A_SCRIPT = 0x180, 3
+# First code points of runs of scripts: Latin extensions, Greek, Cyrillic, Armenian and Hebrew, Arabic, scripts of India, of
+# South-East Asia, Georgian and Hangul letters, later Latin and Greek, kana, Chinese, Hangul, others.
+SCRIPTS = (0x180, 0x370, 0x400, 0x530, 0x600, 0x900, 0xE00, 0x10A0, 0x1E00, 0x3040, 0x3400, 0xAC00, 0xD800)
+MOST_CELLS, SLICE = 4_000_000, 16_384
 UNDETERMINED = "und"
 
 
 def letter_classes() -> np.ndarray:
     """class by code point; 0 is no letter."""
+    letters = np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
     out = np.zeros(0x110000, np.uint8)
-    own = 0
-    for cp in range(len(out)):
-        c = chr(cp)
-        if c.isalpha():
-            if cp >= FIRST:
-                out[cp] = 200 + cp % SHARED
-            elif c == c.lower():
-                own += 1
-                out[cp] = own
-    rest = out >= 200
-    out[rest] = out[rest] - 200 + own + 1
+    low = [cp for cp in range(FIRST) if letters[cp] and chr(cp) == chr(cp).lower()]
+    out[low] = np.arange(1, len(low) + 1)
     for cp in range(FIRST):
-        if chr(cp).isalpha() and len(low := chr(cp).lower()) == 1:
-            out[cp] = out[ord(low)]
+        if letters[cp] and len(folded := chr(cp).lower()) == 1:
+            out[cp] = out[ord(folded)]
+    high = np.flatnonzero(letters[FIRST:]) + FIRST
+    script = np.searchsorted(SCRIPTS, high, side="right") - 1
+    out[high] = len(low) + 1 + script * CLASSES_A_SCRIPT + high % CLASSES_A_SCRIPT
     return out
 
 
@@ -118,18 +117,34 @@ class Model:
         codes, owner = grams(texts)
         if not len(codes) or not self.langs:
             return names, scores
-        present = np.flatnonzero(np.bincount(codes))
-        number = np.zeros(int(present[-1]) + 1, np.int32)
-        number[present] = np.arange(len(present))
-        counts = np.bincount(owner.astype(np.int64) * len(present) + number[codes], minlength=n * len(present)).reshape(n, -1)
-        vectors = counts.astype(np.float32) @ gram_vectors(present, self.letters).astype(np.float32)
+        vectors = self.vectors(codes, owner, n)
         norm = np.linalg.norm(vectors, axis=1)
         cosine = (vectors @ self.prototypes.T) / np.where(norm > 0, norm, 1)[:, None]
         best = cosine.argmax(axis=1)
-        for i in np.flatnonzero(counts.any(axis=1)):
+        for i in np.unique(owner):
             names[i], scores[i] = self.langs[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
         return names, scores
 
+    def vectors(self, codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """The vectors of ``n`` texts: (counts of distinct trigrams) x (their vectors), over runs of texts and slices of
+        trigrams, so that no table has more than MOST_CELLS cells."""
+        there = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
+        there[codes] = True
+        present = np.flatnonzero(there)
+        out = np.zeros((n, self.letters.shape[2]), np.float32)
+        if n > 1 and n * len(present) > MOST_CELLS:
+            half = n // 2
+            cut = int(np.searchsorted(owner, half))
+            out[:half] = self.vectors(codes[:cut], owner[:cut], half)
+            out[half:] = self.vectors(codes[cut:], owner[cut:] - half, n - half)
+            return out
+        number = np.empty(len(there), np.int32)
+        number[present] = np.arange(len(present), dtype=np.int32)
+        counts = np.bincount(owner.astype(np.int64) * len(present) + number[codes], minlength=n * len(present)).reshape(n, -1)
+        for i in range(0, len(present), SLICE):
+            out += counts[:, i : i + SLICE].astype(np.float32) @ gram_vectors(present[i : i + SLICE], self.letters).astype(np.float32)
+        return out
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
@@ -141,7 +156,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, texts in by.items():
                 codes = np.bincount(grams(texts)[0], minlength=n_classes() ** 3)
                 total[lang] = total[lang] + codes if lang in total else codes
-            if len(total) > 16:  # a few languages at a time in memory
+            if len(total) > 3:  # a few languages at a time in memory
                 yield from _counted(total)
                 total = {}
     yield from _counted(total)

@@ -701,9 +701,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["completion_by_region"](spark, sf_dir)
 
 
+def _all() -> None:
+    from markbook import document_queries, plan_queries  # noqa: F401  (they register theirs)
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_ORACLE)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markbook.llm.storage import written
+from markbook.llm.storage import Counted
 
 
 def _canonical(links: DataFrame) -> DataFrame:
@@ -30,17 +30,20 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _checksum(links: DataFrame) -> object:
+    return links.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (u, v) but the roots themselves; root is the smallest node reachable."""
-    now = written(_canonical(links), "links")
-    state = _state(now)
-    while state[0]:
-        now = written(_small_star(_large_star(now)), "links")
-        before, state = state, _state(now)
+    """(node, root) of every node of ``links`` (u, v) but the roots themselves; root is the smallest node reachable.
+
+    Rounds go on until one changes nothing.
+    """
+    now = Counted(_canonical(links), "links")
+    state = (now.n, _checksum(now.df))
+    while now.n:
+        now = Counted(_small_star(_large_star(now.df)), "links")
+        before, state = state, (now.n, _checksum(now.df))
         if before == state:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))

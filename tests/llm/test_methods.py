@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from markbook.llm import components, decontam, eliasfano, imatch, langid, linededup, mixing, pii, ppm, queries, simhash, tokenbin
 
@@ -92,6 +93,49 @@ def test_dense_postings_lose_no_link(spark, long_posting):
     assert {p: got.get(p, p) for p in signed} == {p: find_root(parent, p) for p in signed}
 
 
+def five_word_sets(texts):
+    w = {d: t.lower().split() for d, t in texts.items()}
+    return {d: {tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for d, x in w.items()}
+
+
+def test_near_copies_against_brute_force(spark, texts):
+    rng = random.Random(12)
+    some = dict(texts)
+    for d in range(10_000, 10_150):  # edits of whole texts, at likenesses about 0.8
+        w = texts[rng.choice(sorted(texts)[:60])].split()
+        for _ in range(rng.choice([1, 1, 2, len(w) // 60, len(w) // 50])):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice(["changed", "", "two words"])
+        some[d] = " ".join(w)
+    sets, parent, names = five_word_sets(some), {d: d for d in some}, sorted(some)
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (k := len(x & y)) >= 0.8 * (len(x) + len(y) - k):
+                union(parent, a, b)
+    want = {d for d in some if find_root(parent, d) == d}
+    got = [r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(some.items()), "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len(some) - len(got) >= 0.95 * (len(some) - len(want))
+
+
+def test_near_copies_keep_other_documents_of_an_id(spark):
+    a, b, c = ("the cat sat on the mat while rain fell", "le chat dort sur la table et il pleut", "der hund liegt unter dem tisch und es regnet")
+    kind = "doc_id long, text string, row int, id string"
+    rows = [(None, a, 1, "x"), (1, b, 2, "x"), (1, c, 3, "x"), (2, a + " ", 4, "x"), (1, c, 3, "x"), (None, None, 5, "x"), (None, b.upper(), 6, None), (3, "", 7, "x")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, kind))
+    assert sorted(r.row for r in got.collect()) == [2, 3, 4, 7]
+    assert got.columns == ["doc_id", "text", "row", "id"]
+
+
+def test_shared_bytes(spark):
+    rng = random.Random(3)
+    pairs = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(50)]
+    pairs += [(a, a ^ sum(rng.randrange(256) << (8 * i) for i in rng.sample(range(7), 4))) for a, _ in pairs] + [(-1, 0), (5, 5), (-(1 << 63), 0)]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", simhash.shared_bytes(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == sum(((r.a ^ r.b) >> (8 * i)) & 255 == 0 for i in range(8)) for r in got)
+
+
 def test_components_of_a_long_path(spark):
     got = components.components(spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "u long, v long"))
     assert {r.node: r.root for r in got.collect()} == {i: 0 for i in range(1, 301)} | {1001: 1000}
@@ -351,8 +395,8 @@ def line_brute(texts, least=0.8, size=linededup.SIZE):
     return {(d, i) for x, at in where.items() for d, i in at if (d, i) != home[find_root(parent, x)]}
 
 
-@pytest.mark.parametrize("rounds", [3])
-def test_lines_against_brute_force(spark, texts, rounds):
+@pytest.mark.parametrize("deepest", [1, 3])
+def test_lines_against_brute_force(spark, texts, deepest):
     rng = random.Random(2)
     base = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(40)) for _ in range(30)) for _ in range(4)]
     some = {d: texts[d] for d in sorted(texts)[:40]}
@@ -361,7 +405,7 @@ def test_lines_against_brute_force(spark, texts, rounds):
         w[rng.randrange(30)] = "changed" + str(d)
         some[d] = " ".join(w) + "\n\nshort\nshort"
     docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
-    got = {(r.doc_id, i) for r in linededup.dropped_lines(docs, rounds=rounds).collect() for i in r.dropped}
+    got = {(r.doc_id, i) for r in linededup.dropped_lines(docs, deepest=deepest).collect() for i in r.dropped}
     want = line_brute(some)
     assert got <= want and len(got) >= 0.97 * len(want)
 

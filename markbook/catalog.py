@@ -474,12 +474,6 @@ def key_sanitize(t, spark):
     return t("part").select("p_partkey", X.clean_key(F.concat(F.lit(" 00"), k, F.lit(".0"))).alias("key_a"), X.clean_key(F.concat(F.lit("k"), k, F.lit(".x.y"))).alias("key_b"), X.clean_cell(F.concat(F.lit("\t"), k, F.lit(".0 "))).alias("cell"))
 
 
-@query("""SELECT p_partkey, p_name AS cell FROM part""")
-def cell_sanitize(t, spark):
-    """X1 leaves plain text alone."""
-    return t("part").select("p_partkey", X.clean_cell(F.concat(F.lit("  "), c("p_name"), F.lit(" "))).alias("cell"))
-
-
 @query("""SELECT o_orderkey, substr(CAST(year(o_orderdate) AS VARCHAR), 3, 2) || '-' || substr(CAST(year(o_orderdate) + 1 AS VARCHAR), 3, 2) AS short, CAST(year(o_orderdate) AS VARCHAR) AS first_year,
  CAST(year(o_orderdate) - 2 AS VARCHAR) || ' - ' || CAST(year(o_orderdate) + 1 AS VARCHAR) AS batch FROM orders""")
 def year_texts(t, spark):
@@ -509,16 +503,10 @@ def degree_fields(t, spark):
     return t("part").select("p_partkey", X.faculty(degree).alias("faculty"), X.course_length(degree).alias("course"), X.gender_code(sex).alias("gender"), X.class_text(F.lit('Grade "B+"')).alias("class"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(left(coalesce(text, ''), 60), '\\s+', ' ', 'g')) AS head, CASE WHEN contains(lower(coalesce(source, '')), 'src1') THEN 'Re-Exam' ELSE 'Regular' END AS kind FROM documents""")
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '-{3,}|_{3,}|={3,}', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned, CASE WHEN contains(lower(coalesce(source, '')), 'src1') THEN 'Re-Exam' ELSE 'Regular' END AS kind FROM documents""")
 def text_cleanup(t, spark):
-    """X16, X22, X23."""
-    return t("documents").select("doc_id", X.without_rules(F.left("text", F.lit(60))).alias("head"), X.exam_type(c("source"), "src1").alias("kind"))
-
-
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '-{3,}|_{3,}|={3,}', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM documents""")
-def text_cleanup_whole(t, spark):
-    """X22 on whole texts; ``text_cleanup`` reads their heads."""
-    return t("documents").select("doc_id", X.without_rules(c("text")).alias("cleaned"))
+    """X16, X22, X23, on whole texts."""
+    return t("documents").select("doc_id", X.without_rules(c("text")).alias("cleaned"), X.exam_type(c("source"), "src1").alias("kind"))
 
 
 @query("""SELECT p_partkey, p_size || ' | ' || p_brand AS joined, 'Sem ' || p_size AS sheet, CASE WHEN p_size % 2 = 0 THEN 'UFM' ELSE 'ABSENT' END AS label, CAST(p_size AS VARCHAR) AS shown FROM part""")
@@ -544,12 +532,6 @@ def duration_format(t, spark):
     return t("part").select("p_partkey", secs.alias("secs"), D.duration_text(secs).alias("duration"), D.time_range(F.lit("10:00 AM"), secs).alias("span"))
 
 
-@query("""SELECT p_partkey, '10:00 am to 12:00 noon' AS shown FROM part""")
-def time_range(t, spark):
-    """D6, D7."""
-    return t("part").select("p_partkey", D.timetable_time(D.time_range(F.lit("10:00 AM"), F.lit(7200))).alias("shown"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN n >= 0 THEN n END AS days FROM (SELECT *, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""")
 def window_days(t, spark):
     """D2."""
@@ -658,15 +640,19 @@ def conflict_vertices(t, spark):
     return G.conflict_graph(t("lineitem"), "l_orderkey", "l_partkey")[0]
 
 
-@query("""SELECT CAST(0 AS BIGINT) AS violations, CAST(count(DISTINCT n_name) AS BIGINT) AS nodes FROM nation""")
+@query("""WITH s AS (SELECT DISTINCT c_mktsegment || '/' || CAST(floor(c_acctbal / 50) AS BIGINT) AS seat, c_nationkey AS n FROM customer), e AS (SELECT DISTINCT a.n AS a, b.n AS b FROM s a JOIN s b ON a.seat = b.seat AND a.n < b.n),
+d AS (SELECT n, count(*) AS degree FROM (SELECT a AS n FROM e UNION ALL SELECT b FROM e) GROUP BY n) SELECT (SELECT count(*) FROM nation) AS nodes, (SELECT count(*) FROM e) AS kept_apart, true AS few_slots""")
 def conflict_coloring_check(t, spark):
-    """H3: nations (subjects) of a customer segment and balance band may not share a slot; checks that none do."""
+    """H3: nations (subjects) of a customer segment and balance band may not share a slot; edges whose ends differ, and whether
+    there are at most as many slots as the largest degree and one."""
     checkpointing(spark)
     seats = t("customer").select(F.concat_ws("/", "c_mktsegment", F.floor(c("c_acctbal") / 50)).alias("seat"), "c_nationkey")
     edges = J.pairs_within(seats, "seat", "c_nationkey")
     slots = G.assign_slots(t("nation").select(c("n_nationkey").alias("node")), edges)
-    bad = G.violations(slots, edges).agg(F.count("*").alias("violations"))
-    return slots.agg(F.count("*").alias("nodes")).withColumn("one", F.lit(1)).join(bad.withColumn("one", F.lit(1)), "one").select("violations", "nodes")
+    bad = G.violations(slots, edges).agg(F.count("*").alias("bad"))
+    most = G.degrees(edges).agg(F.coalesce(F.max("degree"), F.lit(0)).alias("degree"))
+    figures = slots.agg(F.count("*").alias("nodes"), F.countDistinct("slot").alias("slots")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(bad).crossJoin(most)  # one row each
+    return figures.select("nodes", (c("edges") - c("bad")).alias("kept_apart"), (c("slots") <= c("degree") + 1).alias("few_slots"))
 
 
 @query()

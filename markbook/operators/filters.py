@@ -112,7 +112,7 @@ def of_entities(df: DataFrame, key: str, having: Column) -> DataFrame:
     return df.join(df.where(having).select(key).distinct(), key, "left_semi")
 
 
-# phrases of headers and lines that say nothing of a student; institution names are the caller's to add.
+# Fixed values of the format (F28): phrases of headers and lines that say nothing of a student; institution names are the caller's to add.
 NOISE = ("Module Credits", "Consolidated Result", "COURSE DETAILS", "Candidate's Full Name", "MRK G GP C", "CG ; CG ;")
 NOISE_PATTERN = r"(?i)^\s*/\s*:\s*Female|Grade\s+Marks\s+GP|Date:\s*\(Execution|Page:\s*\d+/\d+|CONTROLLER OF EXAMINATIONS|PRINCIPAL"
 

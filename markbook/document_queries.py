@@ -201,7 +201,9 @@ def institution_names(t, spark):
 def paper_texts(t, spark):
     """K18, N2, X3, X27."""
     size = c("p_size").cast("string")
-    return t("part").select("p_partkey", T.paper_line(F.concat(c("p_name"), F.lit(" ")), size).alias("line"), T.file_name(c("p_name"), size).alias("file"), (F.upper(T.strip(F.lit(" Tenam "))) == "TENAM").alias("same"), N.scale_max(F.concat(F.lit("R0"), size)).alias("scale"))
+    same = F.upper(T.strip(F.concat(F.lit(" "), c("p_name")))) == F.upper(T.strip(c("p_type")))
+    line, file = T.paper_line(F.concat(c("p_name"), F.lit(" ")), size), T.file_name(c("p_name"), size)
+    return t("part").select("p_partkey", line.alias("line"), file.alias("file"), N.scale_max(F.concat(F.lit("R0"), size)).alias("scale"), same.alias("same"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '10:00 am to 12:00 noon' ELSE lpad(CAST(10 + p_size % 2 AS VARCHAR), 2, '0') || ':30 am to 01:' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ' pm' END AS shown FROM part""")

@@ -44,9 +44,9 @@ def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     )
     logs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     chained = logs.select("conv_id", rolling_hashes(F.col("turns")).alias("chain"))
-    ends = chained.select("conv_id", F.element_at("chain", -1).alias("whole"))
+    ends = chained.select("conv_id", F.element_at("chain", -1).alias("whole")).groupBy("whole").agg(F.min("conv_id").alias("kept_id"), F.count("*").alias("n_copies"))
     inner = chained.select(F.explode(F.slice("chain", F.lit(1), F.size("chain") - 1)).alias("whole")).distinct()
-    kept = ends.join(inner, "whole", "left_anti").groupBy("whole").agg(F.min("conv_id").alias("kept_id"), F.count("*").alias("n_copies"))
+    kept = ends.join(inner, "whole", "left_anti")
     return kept.join(logs, F.col("kept_id").eqNullSafe(F.col("conv_id"))).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", render(F.col("turns")).alias("text")
     )

@@ -233,21 +233,15 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             shard = Shard(row["path"])
-            ends = shard.ends.all().astype(np.int64)
-            begins = np.concatenate([[0], ends[:-1]])
-            names = np.concatenate([np.zeros(shard.nulls, np.int64), shard.names.all().astype(np.int64) + shard.base])
             for lo in range(0, shard.n_docs, 1024):
                 hi = min(lo + 1024, shard.n_docs)
-                first = int(begins[lo])
-                ids = shard.tokens(first, int(ends[hi - 1]))
-                crc = [zlib.crc32(ids[b - first : e - first].astype("<u4").tobytes()) for b, e in zip(begins[lo:hi], ends[lo:hi])]
+                bounds = np.array([shard.ends.select(i) if i >= 0 else 0 for i in range(lo - 1, hi)], np.int64)  # of these documents, by select
+                names = [shard.doc_id(i) for i in range(lo, hi)]
+                first = int(bounds[0])
+                ids = shard.tokens(first, int(bounds[-1]))
+                crc = [zlib.crc32(ids[b - first : e - first].astype("<u4").tobytes()) for b, e in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(names[lo:hi], pa.int64(), mask=np.arange(lo, hi) < shard.nulls),
-                        "start": pa.array(begins[lo:hi] + row["start"], pa.int64()),
-                        "n_tokens": pa.array(ends[lo:hi] - begins[lo:hi], pa.int64()),
-                        "ids_crc32": pa.array(crc, pa.int64()),
-                    }
+                    {"doc_id": pa.array(names, pa.int64()), "start": pa.array(bounds[:-1] + row["start"], pa.int64()), "n_tokens": pa.array(np.diff(bounds), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
                 )
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markbook.llm.storage import written
+from markbook.llm.storage import unused, written
 
 # The masks, each over 12 tokens, reading 6; of 16 tokens with three replaced at most, this pair meets 99.8 % (simulated).
 MASKS = ("101001000111", "110001101001")
@@ -112,5 +112,6 @@ def contaminated(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    bad = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_doc")).distinct(), "contaminated")
-    return docs.join(_sized(bad, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("bad_doc")), "left_anti")
+    name = unused(docs, "bad_doc")
+    bad = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(_sized(bad, MOST_BROADCAST), docs["doc_id"].eqNullSafe(bad[name]), "left_anti")

@@ -23,6 +23,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/markbook/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 #: Rows of numbers up to which a table is kept in one partition, so that small steps need no shuffle.
 SMALL = 100_000
 #: Rows of numbers up to which a table is broadcast.

@@ -207,6 +207,36 @@ def test_patterns_match_their_expressions(text):
     assert pii.base_spans(text) == want
 
 
+def test_personal_data_of_every_document_against_the_expressions(spark, texts):
+    """Counts, digest and spans of the query: patterns by their expressions, added spans disjoint from them and decoded by the field."""
+    import hashlib
+
+    n = lambda s: len(re.sub("[^0-9]", "", s))
+    field = pii.trained()
+    for r in queries.op6_pii(spark, SF).collect():
+        text = texts[r.doc_id]
+        want = [("email", *m.span()) for m in EMAIL.finditer(text)]
+        want += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        want += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= n(m[0]) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0]))]
+        want += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= n(m[0]) <= 15]
+        assert r.base_sha256 == hashlib.sha256(pii.shown(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in want) for kind in pii.KINDS]
+        more = [s for s in field.spans(text) if not any(a < s[2] and s[1] < b for _, a, b in want)]
+        assert r.spans == pii.shown(sorted(want + more, key=lambda s: (pii.TYPES.index(s[0]), s[1], s[2])))
+        assert (r.n_spans, r.n_added) == (len(want) + len(more), len(more))
+
+
+HARD = [
+    ("my password=hunterhunter today", ["secret"]), ("ssn 078-05-1120 ok", []), ("call 06 12 34 56 78 now", ["phone"]), ("iban DE44 5001 0517 5407 3249 31", []), ("the key: always be kind", []),
+    ("pay 12.50 on 2024-03-04 v1.2.3", []), ("fe80:0001:0202:b3ff:fe1e:8329:aa00:1111 x", []), ("secret: recipes are good", []), ("tel (555) 123-4567", ["phone"]), ("chapter 12, page 340", []),
+]
+
+
+@pytest.mark.parametrize(("text", "kinds"), HARD)
+def test_field_on_hand_made_cases(text, kinds):
+    assert [k for k, *_ in pii.find(text, pii.trained())[1]] == kinds
+
+
 def test_field_on_held_out_sentences():
     field, rng = pii.trained(), random.Random(99)
     hit = found = gold = 0
@@ -268,6 +298,34 @@ def test_imatch(spark, texts):
     assert mean("near_edited") > 5 * mean("near_next")
 
 
+def test_imatch_against_brute_force(spark, texts):
+    """Fingerprints and likenesses from the lexicon by plain sets."""
+    words = lambda t: {w for w in re.split(r"[^\w]+|_", t.lower()) if w}
+    got = {r.doc_id: r for r in queries.op7_imatch(spark, SF).collect()}
+    lex = {r.term: (r.code & ((1 << 64) - 1), r.subsets) for r in imatch.lexicon(spark.read.parquet(f"{SF}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text"))).collect()}
+    order, mask = sorted(texts, reverse=True), (1 << 64) - 1
+    every = {w for d in texts for w in words(texts[d])}
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+
+    def prints(text, names):
+        hit = [lex[hashes[w]] for w in names if hashes.get(w) in lex]
+        parts = [0] * imatch.SUBSETS
+        whole = 0
+        for code, subsets in hit:
+            whole ^= code
+            for j in range(imatch.SUBSETS):
+                if subsets >> j & 1:
+                    parts[j] ^= code
+        return (whole if hit else None), parts
+
+    for d in order[::7]:
+        whole, parts = prints(texts[d], words(texts[d]))
+        want = "".join(f"{p:016x}"[-8:] for p in parts)
+        assert got[d].fingerprint[16:] == want
+        if whole is not None:
+            assert got[d].fingerprint[:16] == f"{whole & mask:016x}"
+
+
 def test_imatch_lexicon_band(spark):
     docs = spark.createDataFrame([(f"all all w{i % 10} only{i}",) for i in range(100)], "text string")
     lex = {r.term for r in imatch.lexicon(docs, "text", 0.05, 0.2).collect()}

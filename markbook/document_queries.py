@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,3 +227,17 @@ def column_widths(t, spark):
 def stacked_sheets(t, spark):
     """Rows of several sheets, one below the other."""
     return U.union_all({"nation": t("nation").select(c("n_name").alias("name")), "region": t("region").select(c("r_name").alias("name"))}, source="source")
+
+
+@query("""SELECT 'nation' AS sheet, CAST(n_nationkey AS VARCHAR) AS a, n_name AS b FROM nation UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), r_name FROM region""")
+def workbook_round_trip(t, spark):
+    """Two sheets written to one workbook and read back."""
+    from markbook.session import own_folder
+    from markbook.sources import xlsx
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark.sparkContext.master)
+    path = f"{folder.rstrip('/').removeprefix('file:')}/{uuid.uuid4().hex}.xlsx"
+    xlsx.write_workbook(path, {"nation": t("nation").select("n_nationkey", "n_name"), "region": t("region")})
+    got = xlsx.sheets(xlsx.raw(spark, [path], sheet="*"))
+    rows = {sheet: df.toDF("a", "b", *df.columns[2:]).select(F.lit(sheet).alias("sheet"), "a", "b") for (_, sheet), df in got.items()}
+    return rows["nation"].unionByName(rows["region"])

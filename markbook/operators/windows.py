@@ -20,17 +20,27 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def row_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with ``__h`` and ``__g``: 128 bits that name a row's values in ``columns``; a null is a value of its own."""
+    parts = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return df.withColumns({"__h": F.xxhash64(*parts), "__g": F.xxhash64(F.lit("g"), *parts)})
+
+
 def duplicate_flag(df: DataFrame, columns: Sequence[str], name: str = "is_duplicate") -> DataFrame:
-    """Whether another row equals this one in ``columns``; nulls are equal. Sizes come from a combined aggregate."""
-    sizes = df.groupBy(*columns).agg(F.count("*").alias("__n"))
-    b = sizes.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(columns)), "__n")
-    on = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(columns)]
-    return df.join(b, on).select(*df.columns, (F.col("__n") > 1).alias(name))
+    """Whether another row equals this one in ``columns``; nulls are equal.
+
+    Only 128-bit hashes are grouped, combined before the shuffle, and only those of several rows are joined: rows meet no
+    shuffle where these fit a broadcast, which Spark decides by their size.
+    """
+    named = row_hash(df, columns)
+    several = named.groupBy("__h", "__g").agg(F.count("*").alias("__n")).where("__n > 1").select("__h", "__g", F.lit(True).alias("__dup"))
+    return named.join(several, ["__h", "__g"], "left").select(*(f"`{c}`" for c in df.columns), F.coalesce("__dup", F.lit(False)).alias(name))
 
 
 def deduplicate(df: DataFrame, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of equal ones; pass a descending order to keep the last."""
-    return ranked(df, columns, order).where("rn = 1").drop("rn")
+    """The first row of equal ones; pass a descending order to keep the last. Groups are of 128-bit hashes, and each task
+    keeps the first of its own rows before the shuffle."""
+    return ranked(row_hash(df, columns), ["__h", "__g"], order).where("rn = 1").drop("rn", "__h", "__g")
 
 
 def distinct_rank(df: DataFrame, c: str, name: str, start: int = 1) -> DataFrame:

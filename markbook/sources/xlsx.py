@@ -1,17 +1,18 @@
 """Spreadsheets as a Python data source (format ``markbook_xlsx``): every cell as text, no library but the standard one.
 
 Rows carry ``_file``, ``_file_no``, ``_sheet``, ``_sheet_no`` and ``_row_no``, so operators that need an order have one.
-Cells come as one array column ``cells``; ``sheets`` turns that into named columns. Options: ``path`` (files, comma-
-separated), ``sheet`` (``first`` or ``*``), ``blank`` (``null`` or ``empty``). Unreadable files are skipped and listed
+Cells come as one array column ``cells``; ``sheets`` turns that into named columns. Options: ``path`` (a file, or a
+JSON list of files), ``sheet`` (``first`` or ``*``), ``blank`` (``null`` or ``empty``). Unreadable files are skipped and listed
 by ``unreadable``. One partition a file.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree as ET
 
 import pyarrow.fs as pafs
@@ -80,7 +81,8 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [p.strip() for p in options["path"].split(",") if p.strip()]
+        given = options["path"]
+        self.paths = json.loads(given) if given.startswith("[") else [given]
         self.every, self.empty = options.get("sheet", "first") == "*", options.get("blank", "null") == "empty"
 
     def partitions(self):
@@ -94,10 +96,15 @@ class _Reader(DataSourceReader):
             return
         for sheet_no, (sheet, rows) in enumerate(found if self.every else found[:1]):
             width = max(map(len, rows), default=0)
+            rows = rows or [[]]  # an empty sheet has an empty header
             for row_no, cells in enumerate(rows):
                 yield (name, part.no, sheet, sheet_no, row_no, [("" if c is None and self.empty else c) for c in cells + [None] * (width - len(cells))])
 
 
+#: Rows of a sheet, by the format.
+MOST_ROWS = 1_048_576
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, rows: list[list[str | None]]):
         self.rows = rows
@@ -113,6 +120,8 @@ class _Writer(DataSourceWriter):
         return _Written([[None if v is None else str(v) for v in r] for r in rows])
 
     def commit(self, messages):
+        if sum(len(m.rows) for m in messages if m) >= MOST_ROWS:
+            raise ValueError(f"a sheet holds {MOST_ROWS - 1} rows and a header")
         where, name = pafs.FileSystem.from_uri(self.path)
         with where.open_output_stream(name) as f:
             f.write(to_workbook({self.sheet: [self.names, *(r for m in messages if m for r in m.rows)]}))
@@ -159,21 +168,39 @@ def to_workbook(sheets: dict[str, list[list[str | None]]]) -> bytes:
 def raw(spark: SparkSession, paths: list[str], sheet: str = "first", blank: str = "null") -> DataFrame:
     """The rows of all readable files, headers included."""
     spark.dataSource.register(XlsxSource)
-    return spark.read.format("markbook_xlsx").option("path", ",".join(paths)).option("sheet", sheet).option("blank", blank).load()
+    return spark.read.format("markbook_xlsx").option("path", json.dumps(list(paths))).option("sheet", sheet).option("blank", blank).load()
 
 
 def sheets(rows: DataFrame) -> dict[tuple[str, str], DataFrame]:
-    """A frame of named text columns for each (file, sheet); headers are the first rows, one a sheet."""
+    """A frame of named text columns for each (file, sheet); headers are the first rows, one a sheet.
+
+    Of several files of one name the later ones are named with ``_2``, ``_3``, ...
+    """
     heads = rows.where("_row_no = 0").orderBy("_file_no", "_sheet_no").collect()
+    files = {h._file_no: h._file for h in heads}
+    files = dict(zip(files, unique_names(files.values())))
     out = {}
     for h in heads:
         names = unique_names([clean_name(c or f"Column{i + 1}") for i, c in enumerate(h.cells)])
         own = rows.where((F.col("_file_no") == h._file_no) & (F.col("_sheet_no") == h._sheet_no) & (F.col("_row_no") > 0))
-        out[h._file, h._sheet] = own.select(*(F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)), "_file_no", "_sheet_no", "_row_no")
+        out[files[h._file_no], h._sheet] = own.select(*(F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)), "_file_no", "_sheet_no", "_row_no")
     return out
 
 
 def unreadable(rows: DataFrame, paths: list[str]) -> list[str]:
-    """Names of the files that gave no row."""
-    got = {r[0] for r in rows.select("_file").distinct().collect()}
-    return [p for p in paths if p.rsplit("/", 1)[-1] not in got]
+    """The files, in the order of ``paths`` as given to ``raw``, that are no workbooks."""
+    got = {r[0] for r in rows.select("_file_no").distinct().collect()}
+    return [p for i, p in enumerate(paths) if i not in got]
+
+
+def write_workbook(path: str, frames: Mapping[str, DataFrame]) -> None:
+    """K1-K7: one workbook of several sheets, each a frame in its order, as text. Frames beyond the rows of a sheet are refused."""
+    made = {}
+    for name, df in frames.items():
+        got = df.limit(MOST_ROWS).collect()
+        if len(got) == MOST_ROWS:
+            raise ValueError(f"{name}: a sheet holds {MOST_ROWS - 1} rows and a header")
+        made[name] = [df.columns, *([None if v is None else str(v) for v in r] for r in got)]
+    where, file = pafs.FileSystem.from_uri(path)
+    with where.open_output_stream(file) as f:
+        f.write(to_workbook(made))

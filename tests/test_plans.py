@@ -30,6 +30,18 @@ def test_xlsx_round_trip(spark, tmp_path):
     assert xlsx.raw(spark, paths[:1], blank="empty").where("_row_no = 3").first().cells == ["3", ""]
 
 
+def test_workbooks_of_one_name_and_odd_paths(spark, tmp_path):
+    for i, folder in enumerate(["a,b", "c"]):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "r.xlsx").write_bytes(xlsx.to_workbook({"S": [["x"], [str(i)]]}))
+    (tmp_path / "empty.xlsx").write_bytes(xlsx.to_workbook({"S": []}))
+    paths = [str(tmp_path / "a,b" / "r.xlsx"), str(tmp_path / "c" / "r.xlsx"), str(tmp_path / "empty.xlsx")]
+    raw = xlsx.raw(spark, paths)
+    got = xlsx.sheets(raw)
+    assert [got[k, "S"].first().x for k in ("r.xlsx", "r.xlsx_2")] == ["0", "1"]
+    assert xlsx.unreadable(raw, paths) == [] and got["empty.xlsx", "S"].count() == 0
+
+
 def test_spreadsheet_xml(spark, tmp_path):
     ns = 'xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"'
     body = '<Row><Cell ss:MergeAcross="1"><Data>a</Data></Cell><Cell ss:Index="4"><Data>b</Data></Cell><Cell><Data>c</Data></Cell></Row><Row><Cell><Data>Result Declaration Date</Data></Cell></Row>'

@@ -34,7 +34,7 @@ def unused(df: DataFrame, name: str) -> str:
 #: Rows of numbers up to which a table is kept in one partition, so that small steps need no shuffle.
 SMALL = 100_000
 #: Rows of numbers up to which a table is broadcast.
-MOST_BROADCAST = 500_000
+MOST_BROADCAST = 200_000
 
 
 class Counted:

@@ -453,7 +453,7 @@ def line_brute(texts, least=0.8, size=linededup.SIZE):
     return {(d, i) for x, at in where.items() for d, i in at if (d, i) != home[find_root(parent, x)]}
 
 
-@pytest.mark.parametrize("deepest", [1, 3])
+@pytest.mark.parametrize("deepest", [2])
 def test_lines_against_brute_force(spark, texts, deepest):
     rng = random.Random(2)
     base = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(40)) for _ in range(30)) for _ in range(4)]

@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 the last one the token table. ``run`` writes each result in the shared folder and rereads it.
 
 * language ID: documents that read as no learned language go (no letters, or hardly any likeness to one);
-* SimHash near-dedup: of each component of the op3 contract (three words, at most two bits) the smallest doc_id stays;
+* SimHash near-dedup: of each component of near copies (five-word likeness of 0.8 or more) the smallest doc_id stays, null
+  last; documents of one doc_id but different texts are different documents;
 * benchmark decontamination: documents that hold a passage of a benchmark item go;
 * mixing: every document stands as often as its fitted rate says, by domains of the labelled table;
 * token-ID output: ids in shards with Elias-Fano boundaries, read back as doc_id, start, n_tokens, ids_crc32.
@@ -55,7 +56,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("token-ID output", token_ids),
 ]
 
-#: No stage but decontamination has a form in SQL; tests hold each against brute force.
+#: The first stage has no form in SQL. Tests hold near-dedup and decontamination against brute force, token output against an
+#: exact round trip, language ID against held-out accuracy and mixing against its targets.
 ORACLE_SQL = None
 
 

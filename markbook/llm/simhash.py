@@ -237,7 +237,7 @@ def near_copies(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> Data
     rows = _rows(docs)
     prints = rows.mapInArrow(_printer, "id long, doc_id long, fp array<long>")
     prints = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "fingerprints")
-    roots = components(buckets.links(postings(prints), _judge(rows, prints, size, least)))
+    roots = components(buckets.links(postings(prints), _judge(rows, prints, size, least), 1))  # with 64 keys a text, one depth: leaders differ by posting
     rooted = prints.join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     place = F.struct(F.col("first").isNull(), "first", "id")
     best = rooted.groupBy("root").agg(F.min(place).alias("best"))

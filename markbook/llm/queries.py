@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from markbook.llm import chat, decontam, fim, imatch, langid, linededup, mixing, pii, ppm, simhash, tokenbin, tokencount
+from markbook.llm import chat, decontam, fim, imatch, langid, linededup, mixing, pii, ppm, simhash, spelling, tokenbin, tokencount
 from markbook.session import importable
 
 
@@ -55,6 +55,10 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 

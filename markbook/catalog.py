@@ -688,7 +688,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> None:
-    from markbook import document_queries, plan_queries  # noqa: F401  (they register theirs)
+    from markbook import document_queries, plan_queries, workbook_queries  # noqa: F401  (they register theirs)
 
 
 def queries() -> dict[str, Query]:

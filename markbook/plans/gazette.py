@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markbook.functions import extract as E
 from markbook.functions.numbers import grade_points, number, percent_or, split_ratio
+from markbook.operators import scan
 from markbook.operators.filters import NOISE, content_lines
 from markbook.operators.joins import lookup
 from markbook.operators.reshape import exploded, zipped
@@ -56,9 +57,14 @@ def catalogue(lines: DataFrame) -> DataFrame:
     return lines.select(E.catalogue(F.col("text")).alias("c")).where("c is not null").select("c.*")
 
 
-def xml_blocks(cells: DataFrame, start: str, end: str = "Result Declaration Date") -> DataFrame:
-    """(block, part, row, text) of the rows between markers, legend apart; cells of a row joined by `` | ``."""
-    rows = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("column", "text"))).alias("c")).withColumn("text", F.array_join(F.transform("c", lambda x: x["text"]), " | ")).drop("c")
-    rows = rows.withColumn("doc", F.lit(1))
-    found = blocks(rows, F.col("text").contains(start), F.col("text").contains(end), ["row"], ["doc"])
-    return split_at(found, F.col("text").rlike(r"^\W*Note:"), ["row"], ["doc", "block"]).drop("doc")
+def xml_blocks(cells: DataFrame, start: str, end: str = "Result Declaration Date", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, block, part, row, text) of the rows between markers, legend apart; cells of a row joined by `` | ``.
+
+    ``keys`` name a document; without them all rows are one, in whatever length: its blocks are found by a prefix scan.
+    """
+    rows = cells.groupBy(*keys, "row").agg(F.sort_array(F.collect_list(F.struct("column", "text"))).alias("c")).withColumn("text", F.array_join(F.transform("c", lambda x: x["text"]), " | ")).drop("c")
+    starts, ends, note = F.col("text").contains(start), F.col("text").contains(end), F.col("text").rlike(r"^\W*Note:")
+    if keys:
+        return split_at(blocks(rows, starts, ends, ["row"], list(keys)), note, ["row"], [*keys, "block"])
+    found = scan.Ordered(scan.blocks(rows, starts, ends, ["row"]), ["block", "row"]).last("__note", F.when(note, F.col("block")))
+    return found.column("part", F.when(F.col("__note") == F.col("block"), "legend").otherwise("data")).rows.drop("__note")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -31,3 +32,16 @@ def checkpointing(spark: SparkSession) -> SparkSession:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark.sparkContext.master))
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below the folder of ``spark.checkpoint.dir``, which driver and executors share; below a temporary one only where it is unset."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or checkpointing(spark).sparkContext.getCheckpointDir()
+    return f"{place.rstrip('/')}/markbook/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: read again, it is the same, whatever executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}-{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from markbook.functions.dates import HOLIDAY_FORMATS, parsed
 from markbook.functions.text import strip
 from markbook.operators.reshape import cell_positions
+from markbook.sources import spreadsheetml
 
 
 def found_files(spark: SparkSession, folder: str, pattern: str = "*.xls*") -> list[str]:
@@ -24,14 +25,8 @@ def page_lines(pages: DataFrame, keys: Sequence[str] = ("doc", "page"), text: st
 
 
 def spreadsheet_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(row, column, text, merge_across, merge_down) of the first table of a SpreadsheetML file, sparse cells placed."""
-    kind = "Row array<struct<Cell: array<struct<`_ss:Index`: int, `_ss:MergeAcross`: int, `_ss:MergeDown`: int, Data: struct<_VALUE: string>>>>>"
-    tables = spark.read.schema(kind).format("xml").option("rowTag", "Table").load(path).limit(1)
-    rows = tables.select(F.posexplode("Row").alias("row", "r")).select("row", F.col("r.Cell").alias("c"))
-    cells = F.transform("c", lambda x: F.struct(x["_ss:Index"].alias("index"), x["_ss:MergeAcross"].alias("span")))
-    zipped = rows.select("row", F.explode(F.arrays_zip(F.col("c").alias("c"), cell_positions(cells).alias("at"))).alias("z"))
-    span = lambda n: F.coalesce(F.col(f"z.c.`_ss:{n}`"), F.lit(0))
-    return zipped.select("row", F.col("z.at").alias("column"), F.coalesce(F.col("z.c.Data._VALUE"), F.lit("")).alias("text"), span("MergeAcross").alias("merge_across"), span("MergeDown").alias("merge_down"))
+    """(row, column, text, merge_across, merge_down) of the first worksheet of a SpreadsheetML file, sparse cells placed."""
+    return spreadsheetml.cells(spark, path).drop("path", "sheet_no")
 
 
 def column_widths(spark: SparkSession, path: str) -> DataFrame:

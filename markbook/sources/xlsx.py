@@ -1,174 +1,39 @@
-"""Spreadsheets as a Python data source (format ``markbook_xlsx``): every cell as text, no library but the standard one.
-
-Rows carry ``_file``, ``_file_no``, ``_sheet``, ``_sheet_no`` and ``_row_no``, so operators that need an order have one.
-Cells come as one array column ``cells``; ``sheets`` turns that into named columns. Options: ``path`` (a file, or a
-JSON list of files), ``sheet`` (``first`` or ``*``), ``blank`` (``null`` or ``empty``). Unreadable files are skipped and listed
-by ``unreadable``. One partition a file.
-"""
+"""Workbooks by path, as frames of named columns, and reports as one workbook; see ``sheetreader`` and ``sheetwriter``."""
 
 from __future__ import annotations
 
-import io
-import json
 import re
-import zipfile
-from collections.abc import Iterator, Mapping
-from xml.etree import ElementTree as ET
+from collections.abc import Mapping, Sequence
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from markbook.operators.schema import clean_name, unique_names
+from markbook.sources import sheetreader
+from markbook.sources.sheetwriter import Sheet, to_workbook, write_workbooks  # noqa: F401  (to_workbook is part of this interface)
 
-SCHEMA = "_file string, _file_no int, _sheet string, _sheet_no int, _row_no int, cells array<string>"
-NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def column_number(ref: str) -> int:
-    """0 for A, 26 for AA."""
-    n = 0
-    for ch in re.match("[A-Z]+", ref)[0]:
-        n = n * 26 + ord(ch) - 64
-    return n - 1
-
-
-def column_letters(n: int) -> str:
-    out, n = "", n + 1
-    while n:
-        n, r = divmod(n - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
-def read_bytes(path: str) -> bytes:
-    where, name = pafs.FileSystem.from_uri(path)
-    with where.open_input_file(name) as f:
-        return f.read()
-
-
-def workbook(data: bytes) -> Iterator[tuple[str, list[list[str | None]]]]:
-    """(sheet, rows) of a workbook; absent cells are None."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{NS}t")) for si in ET.parse(z.open("xl/sharedStrings.xml")).getroot().iter(f"{NS}si")]
-        links = {r.get("Id"): r.get("Target") for r in ET.parse(z.open("xl/_rels/workbook.xml.rels")).getroot()}
-        for sheet in ET.parse(z.open("xl/workbook.xml")).getroot().iter(f"{NS}sheet"):
-            target = links[sheet.get(REL)].lstrip("/")
-            rows = []
-            for row in ET.parse(z.open(target if target.startswith("xl/") else f"xl/{target}")).getroot().iter(f"{NS}row"):
-                cells: list[str | None] = []
-                for c in row.iter(f"{NS}c"):
-                    at = column_number(c.get("r")) if c.get("r") else len(cells)
-                    cells += [None] * (at - len(cells) + 1)
-                    kind, v = c.get("t"), c.find(f"{NS}v")
-                    if kind == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(f"{NS}t"))
-                    elif v is not None and v.text is not None:
-                        cells[at] = shared[int(v.text)] if kind == "s" else {"1": "True", "0": "False"}[v.text] if kind == "b" else v.text
-                rows.append(cells)
-            yield sheet.get("name"), rows
-
-
-class _File(InputPartition):
-    def __init__(self, no: int, path: str):
-        super().__init__(no)
-        self.no, self.path = no, path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        given = options["path"]
-        self.paths = json.loads(given) if given.startswith("[") else [given]
-        self.every, self.empty = options.get("sheet", "first") == "*", options.get("blank", "null") == "empty"
-
-    def partitions(self):
-        return [_File(i, p) for i, p in enumerate(self.paths)]
-
-    def read(self, part: _File):
-        name = part.path.rsplit("/", 1)[-1]
-        try:
-            found = list(workbook(read_bytes(part.path)))
-        except (zipfile.BadZipFile, KeyError, ET.ParseError, OSError):
-            return
-        for sheet_no, (sheet, rows) in enumerate(found if self.every else found[:1]):
-            width = max(map(len, rows), default=0)
-            rows = rows or [[]]  # an empty sheet has an empty header
-            for row_no, cells in enumerate(rows):
-                yield (name, part.no, sheet, sheet_no, row_no, [("" if c is None and self.empty else c) for c in cells + [None] * (width - len(cells))])
-
-
-#: Rows of a sheet, by the format.
-MOST_ROWS = 1_048_576
-
-
-class _Written(WriterCommitMessage):
-    def __init__(self, rows: list[list[str | None]]):
-        self.rows = rows
-
-
-class _Writer(DataSourceWriter):
-    """Collects the rows of a report and writes one workbook at commit: for reports, not for tables."""
-
-    def __init__(self, schema, options):
-        self.names, self.path, self.sheet = [f.name for f in schema.fields], options["path"], options.get("sheet", "Sheet1")
-
-    def write(self, rows):
-        return _Written([[None if v is None else str(v) for v in r] for r in rows])
-
-    def commit(self, messages):
-        if sum(len(m.rows) for m in messages if m) >= MOST_ROWS:
-            raise ValueError(f"a sheet holds {MOST_ROWS - 1} rows and a header")
-        where, name = pafs.FileSystem.from_uri(self.path)
-        with where.open_output_stream(name) as f:
-            f.write(to_workbook({self.sheet: [self.names, *(r for m in messages if m for r in m.rows)]}))
-
-    def abort(self, messages):
-        pass
 
+def literal(path: str) -> str:
+    """A path as Spark's readers take it, without patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
-class XlsxSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "markbook_xlsx"
 
-    def schema(self):
-        return SCHEMA
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers name it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
-    def reader(self, schema):
-        return _Reader(self.options)
 
-    def writer(self, schema, overwrite):
-        return _Writer(schema, self.options)
-
-
-def to_workbook(sheets: dict[str, list[list[str | None]]]) -> bytes:
-    """A plain workbook of text cells (K1-K7)."""
-    from xml.sax.saxutils import escape, quoteattr
-
-    out = io.BytesIO()
-    names = unique_names([re.sub(r"[\\/*?:\[\]]", "", n)[:31] or "Sheet" for n in sheets])
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
-        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{NS[1:-1]}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
-        for i, rows in enumerate(sheets.values(), 1):
-            body = "".join(f'<row r="{r}">' + "".join(f'<c r="{column_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for c, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows, 1))
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{NS[1:-1]}"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
+def _numbered(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, _file_no) of the given paths, which the caller has as a list."""
+    return F.broadcast(spark.createDataFrame([(qualified(spark, p), i) for i, p in enumerate(paths)], "path string, _file_no int"))
 
 
-def raw(spark: SparkSession, paths: list[str], sheet: str = "first", blank: str = "null") -> DataFrame:
-    """The rows of all readable files, headers included."""
-    spark.dataSource.register(XlsxSource)
-    return spark.read.format("markbook_xlsx").option("path", json.dumps(list(paths))).option("sheet", sheet).option("blank", blank).load()
+def raw(spark: SparkSession, paths: Sequence[str], sheet: str = "first", blank: str = "null") -> DataFrame:
+    """_file, _file_no, _sheet, _sheet_no, _row_no, cells of all readable files, headers included; ``sheet`` is ``first`` or ``*``."""
+    got = sheetreader.read(spark, [literal(p) for p in paths], sheet == "*", "" if blank == "empty" else None).rows
+    named = got.join(_numbered(spark, paths), "path")
+    return named.select(F.element_at(F.split("path", "/"), -1).alias("_file"), "_file_no", F.col("sheet").alias("_sheet"), F.col("sheet_no").alias("_sheet_no"), "_row_no", "cells")
 
 
 def sheets(rows: DataFrame) -> dict[tuple[str, str], DataFrame]:
@@ -187,20 +52,13 @@ def sheets(rows: DataFrame) -> dict[tuple[str, str], DataFrame]:
     return out
 
 
-def unreadable(rows: DataFrame, paths: list[str]) -> list[str]:
+def unreadable(rows: DataFrame, paths: Sequence[str]) -> list[str]:
     """The files, in the order of ``paths`` as given to ``raw``, that are no workbooks."""
     got = {r[0] for r in rows.select("_file_no").distinct().collect()}
     return [p for i, p in enumerate(paths) if i not in got]
 
 
 def write_workbook(path: str, frames: Mapping[str, DataFrame]) -> None:
-    """K1-K7: one workbook of several sheets, each a frame in its order, as text. Frames beyond the rows of a sheet are refused."""
-    made = {}
-    for name, df in frames.items():
-        got = df.limit(MOST_ROWS).collect()
-        if len(got) == MOST_ROWS:
-            raise ValueError(f"{name}: a sheet holds {MOST_ROWS - 1} rows and a header")
-        made[name] = [df.columns, *([None if v is None else str(v) for v in r] for r in got)]
-    where, file = pafs.FileSystem.from_uri(path)
-    with where.open_output_stream(file) as f:
-        f.write(to_workbook(made))
+    """K1-K7: one workbook of several sheets, each a frame in its order. Frames beyond the rows of a sheet are refused."""
+    folder, _, name = path.rpartition("/")
+    write_workbooks(folder, {k: Sheet(df) for k, df in frames.items()}, name=name.removesuffix(".xlsx"))

@@ -1,17 +1,17 @@
 """Language ID by hyperdimensional profiles.
 
-Every letter class has a random vector of +1 and -1. An n-gram (here a trigram) is the elementwise product of
-its letters' vectors, each permuted once for every place it stands from the end; a text is the sum of its
-trigrams' vectors; a language's prototype is the sum over its training texts. A text gets the language whose
-prototype has the largest cosine with it.
+Every letter, folded to lower case, has a random vector of +1 and -1, made from its code point when it is needed, so letters
+of all scripts have vectors of their own and no table of them is kept. An n-gram (here a trigram) is the elementwise product
+of its letters' vectors, each permuted once for every place it stands from the end; a text is the sum of its trigrams'
+vectors; a language's prototype is the sum over its training texts. A text gets the language whose prototype has the
+largest cosine with it.
 
 Sums are linear, so a text's vector is (counts of its distinct trigrams) x (vectors of those trigrams), and a
-batch of texts is one matrix product. Training only sums trigram counts by language on the executors; what comes
-to the driver is one number for each language and distinct trigram of letter classes, at most CLASSES ** 3 a
-language however large the corpus is.
+batch of texts is one matrix product. Training sums vectors by language on the executors: whole numbers, so in any order the
+same. DIM numbers a language come to the driver, however large the corpus or the alphabet is.
 
-Letters are folded to lower case; those below U+0180 have a class each, those of every other script (``SCRIPTS``) share
-CLASSES_A_SCRIPT of its own by code point, and every run of other characters is one boundary.
+Trigrams are centred on letters; signs that combine with letters (vowel signs, accents) count as neighbours, and every run of
+other characters is one boundary.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; so does every text when nothing
 was learned; equal cosines go to the alphabetically first language; training rows with a null language or text
@@ -20,6 +20,7 @@ teach nothing; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,51 +33,63 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from markbook.llm.arrowtools import pieces
 
 DIM, N = 512, 3
-FIRST, CLASSES_A_SCRIPT = 0x180, 3
-# First code points of runs of scripts: Latin extensions, Greek, Cyrillic, Armenian and Hebrew, Arabic, scripts of India, of
-# South-East Asia, Georgian and Hangul letters, later Latin and Greek, kana, Chinese, Hangul, others.
-SCRIPTS = (0x180, 0x370, 0x400, 0x530, 0x600, 0x900, 0xE00, 0x10A0, 0x1E00, 0x3040, 0x3400, 0xAC00, 0xD800)
-MOST_CELLS, SLICE = 4_000_000, 16_384
+BITS = 21
+MOST_CELLS, SLICE, MOST_CODES = 4_000_000, 16_384, 1 << 23
 UNDETERMINED = "und"
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_TABLE: dict[str, np.ndarray] = {}
 
 
-def letter_classes() -> np.ndarray:
-    """class by code point; 0 is no letter."""
-    letters = np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
-    out = np.zeros(0x110000, np.uint8)
-    low = [cp for cp in range(FIRST) if letters[cp] and chr(cp) == chr(cp).lower()]
-    out[low] = np.arange(1, len(low) + 1)
-    for cp in range(FIRST):
-        if letters[cp] and len(folded := chr(cp).lower()) == 1:
-            out[cp] = out[ord(folded)]
-    high = np.flatnonzero(letters[FIRST:]) + FIRST
-    script = np.searchsorted(SCRIPTS, high, side="right") - 1
-    out[high] = len(low) + 1 + script * CLASSES_A_SCRIPT + high % CLASSES_A_SCRIPT
-    return out
+def _tables() -> dict[str, np.ndarray]:
+    if not _TABLE:
+        every = [chr(cp) for cp in range(0x110000)]
+        letter = np.fromiter(map(str.isalpha, every), bool, len(every))
+        fold = np.zeros(len(every), np.int32)
+        at = np.flatnonzero(letter)
+        fold[at] = [ord(low) if len(low := every[cp].lower()) == 1 else cp for cp in at]
+        signs = [cp for cp in range(0x300, len(every)) if not letter[cp] and unicodedata.category(every[cp])[0] == "M"]
+        fold[signs] = signs
+        _TABLE.update(fold=fold, letter=letter)
+    return _TABLE
 
 
-_TABLE: dict[str, np.ndarray] = {}
+def classes() -> np.ndarray:
+    """class by code point: that of the folded letter or of a combining sign; 0 is a boundary."""
+    return _tables()["fold"]
 
 
-def classes() -> np.ndarray:
-    if not _TABLE:
-        _TABLE["classes"] = letter_classes()
-    return _TABLE["classes"]
+class Letters:
+    """``letters[place][class]``: vectors of +1 and -1, permuted ``place`` times; for a class or an array of them."""
+
+    def __init__(self, dim: int = DIM, seed: int = 7):
+        self.dim, self.seed = dim, seed
+        order, self.orders = np.random.default_rng(seed).permutation(dim), [np.arange(dim)]
+        for _ in range(N - 1):
+            self.orders.append(self.orders[-1][order])
+
+    def plain(self, of: np.ndarray) -> np.ndarray:
+        words = (self.dim + 63) // 64
+        x = (of.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64) + np.uint64(self.seed << 32)) * _ODD[0]
+        x = (x ^ (x >> np.uint64(30))) * _ODD[1]
+        x = (x ^ (x >> np.uint64(27))) * _ODD[2]
+        x ^= x >> np.uint64(31)
+        return np.unpackbits(x.view(np.uint8), axis=1)[:, : self.dim].astype(np.int8) * 2 - 1
+
+    def __getitem__(self, place: int) -> _Place:
+        return _Place(self, place)
 
 
-def n_classes() -> int:
-    return int(classes().max()) + 1
+class _Place:
+    def __init__(self, letters: Letters, place: int):
+        self.letters, self.order = letters, letters.orders[place]
 
+    def __getitem__(self, of: int | np.ndarray) -> np.ndarray:
+        own, number = np.unique(np.asarray(of), return_inverse=True)
+        return self.letters.plain(own)[:, self.order][number.reshape(np.shape(of))]
 
-def letter_vectors(dim: int = DIM, seed: int = 7) -> np.ndarray:
-    """[place from the end, class, dim] of +1 and -1: a permutation of the class's vector for each place."""
-    rng = np.random.default_rng(seed)
-    plain = rng.integers(0, 2, (n_classes(), dim), dtype=np.int8) * 2 - 1
-    order = rng.permutation(dim)
-    out = [plain.astype(np.int8)]
-    for _ in range(N - 1):
-        out.append(out[-1][:, order])
-    return np.stack(out)
+
+def letter_vectors(dim: int = DIM, seed: int = 7) -> Letters:
+    return Letters(dim, seed)
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,20 +100,45 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     c = classes()[joined]
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0) | (owner[1:] != owner[:-1])
-    c, owner = c[keep].astype(np.int32), owner[keep]
+    c, owner, letters = c[keep].astype(np.int64), owner[keep], _tables()["letter"][joined[keep]]
     # a boundary before and after each text: the separator's class is 0, and trigrams across two texts are dropped
-    k = n_classes()
     before = np.zeros_like(c)
     before[1:] = np.where(owner[1:] == owner[:-1], c[:-1], 0)
     after = np.zeros_like(c)
     after[:-1] = np.where(owner[1:] == owner[:-1], c[1:], 0)
-    letters = c != 0
-    return ((before * k + c) * k + after)[letters], owner[letters]
+    return ((before << 2 * BITS) | (c << BITS) | after)[letters], owner[letters]
+
+
+def parts_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three classes of trigrams."""
+    low = (1 << BITS) - 1
+    return codes >> 2 * BITS, codes >> BITS & low, codes & low
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, in order, and the number of each code among them."""
+    parts = parts_of(codes)
+    there = np.zeros(0x110000, bool)
+    for p in parts:
+        there[p] = True
+    own = np.flatnonzero(there)
+    k = len(own)
+    if k**3 > MOST_CODES:
+        return np.unique(codes, return_inverse=True)
+    small = np.zeros(0x110000, np.int32)
+    small[own] = np.arange(k, dtype=np.int32)
+    dense = (small[parts[0]] * k + small[parts[1]]) * k + small[parts[2]]
+    met = np.zeros(k**3, bool)
+    met[dense] = True
+    present = np.flatnonzero(met)
+    number = np.empty(k**3, np.int32)
+    number[present] = np.arange(len(present), dtype=np.int32)
+    return (own[present // (k * k)] << 2 * BITS) | (own[present // k % k] << BITS) | own[present % k], number[dense]
 
 
-def gram_vectors(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    k = letters.shape[1]
-    return letters[2][codes // (k * k)] * letters[1][codes // k % k] * letters[0][codes % k]
+def gram_vectors(codes: np.ndarray, letters: Letters) -> np.ndarray:
+    a, b, c = parts_of(codes)
+    return letters[2][a] * letters[1][b] * letters[0][c]
 
 
 @dataclass(frozen=True)
@@ -109,7 +147,7 @@ class Model:
 
     langs: tuple[str, ...]
     prototypes: np.ndarray
-    letters: np.ndarray
+    letters: Letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n = len(texts)
@@ -128,61 +166,57 @@ class Model:
     def vectors(self, codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """The vectors of ``n`` texts: (counts of distinct trigrams) x (their vectors), over runs of texts and slices of
         trigrams, so that no table has more than MOST_CELLS cells."""
-        there = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
-        there[codes] = True
-        present = np.flatnonzero(there)
-        out = np.zeros((n, self.letters.shape[2]), np.float32)
+        present, number = distinct(codes)
+        out = np.zeros((n, self.letters.dim), np.float32)
         if n > 1 and n * len(present) > MOST_CELLS:
             half = n // 2
             cut = int(np.searchsorted(owner, half))
             out[:half] = self.vectors(codes[:cut], owner[:cut], half)
             out[half:] = self.vectors(codes[cut:], owner[cut:] - half, n - half)
             return out
-        number = np.empty(len(there), np.int32)
-        number[present] = np.arange(len(present), dtype=np.int32)
-        counts = np.bincount(owner.astype(np.int64) * len(present) + number[codes], minlength=n * len(present)).reshape(n, -1)
+        counts = np.bincount(owner.astype(np.int64) * len(present) + number, minlength=n * len(present)).reshape(n, -1)
         for i in range(0, len(present), SLICE):
             out += counts[:, i : i + SLICE].astype(np.float32) @ gram_vectors(present[i : i + SLICE], self.letters).astype(np.float32)
         return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for part in pieces(batch, 1, 2 << 20):
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                codes = np.bincount(grams(texts)[0], minlength=n_classes() ** 3)
-                total[lang] = total[lang] + codes if lang in total else codes
-            if len(total) > 3:  # a few languages at a time in memory
-                yield from _counted(total)
-                total = {}
-    yield from _counted(total)
+def _summer(letters: Letters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in pieces(batch, 1, 2 << 20):
+                by: dict[str, list[str]] = {}
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    by.setdefault(lang, []).append(text)
+                for lang, texts in by.items():
+                    codes = grams(texts)[0]
+                    if len(codes):
+                        total[lang] = total.get(lang, 0) + summed(codes, letters)
+        names = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[x].tolist() for x in names], pa.list_(pa.int64()))], names=["lang", "v"])
+
+    return run
 
 
-def _counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for lang, codes in total.items():
-        at = np.flatnonzero(codes)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "code": pa.array(at, pa.int32()), "n": pa.array(codes[at], pa.int64())})
+def summed(codes: np.ndarray, letters: Letters) -> np.ndarray:
+    """The sum of the trigrams' vectors, in whole numbers."""
+    present, number = distinct(codes)
+    n, out = np.bincount(number, minlength=len(present)).astype(np.float64), np.zeros(letters.dim)
+    for i in range(0, len(present), SLICE):
+        out += n[i : i + SLICE] @ gram_vectors(present[i : i + SLICE], letters).astype(np.float64)
+    return out.astype(np.int64)
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM, seed: int = 7) -> Model:
     """Learns from every row with a language and a text."""
     labelled = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sums = labelled.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     letters = letter_vectors(dim, seed)
-    got = sums.toArrow()
-    names = np.array(got.column("lang").to_pylist(), dtype=object)
-    codes, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-    langs = tuple(sorted(set(names)))
+    sums = labelled.mapInArrow(_summer(letters), "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    got = sums.toArrow().to_pydict()  # dim numbers a language
+    langs = tuple(sorted(set(got["lang"])))
     prototypes = np.zeros((len(langs), dim))
-    for i, x in enumerate(langs):
-        own = np.flatnonzero(names == x)
-        for j in range(0, len(own), 20_000):
-            at = own[j : j + 20_000]
-            prototypes[i] += n[at] @ gram_vectors(codes[at], letters).astype(np.float64)
+    for x, i, v in zip(got["lang"], got["i"], got["x"]):
+        prototypes[langs.index(x), i] = v
     norm = np.linalg.norm(prototypes, axis=1, keepdims=True)
     return Model(langs, (prototypes / np.where(norm > 0, norm, 1)).astype(np.float32), letters)
 

@@ -41,8 +41,10 @@ LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 ADDED = "secret"
 TYPES = (*KINDS, ADDED)
 LONGEST = 5
+_NAMES = re.compile("(?i)pass|pwd|secret|token|key")  # what every name below holds
 SECRET = r"(?:pass(?:word|wd|phrase|wort)?|pwd|secret|token|api[_-]?key|key)\w*"
 KEPT = 200_000
+LOOK = 40
 EDGES = ".,;:!?|()[]{}<>\"'"
 
 
@@ -146,8 +148,8 @@ def features(s: str, before: str, size: int) -> list[str]:
         out.append("luhn" if luhn(digits) else "no luhn")
     if re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?:/[0-9]+)?", s):
         out.append("quad")
-    if m := re.search(rf"(?i){SECRET}\s*([:=])\s*(\S{{6,}})$", s):
-        out.append(f"assigned secret {m[1]}" + (" with digits" if digits else "") + (" word" if m[2].isalpha() else ""))
+    if (at := assigned(s)) is not None:
+        out.append(f"assigned secret {s[at]}" + (" with digits" if digits else "") + (" word" if s[at + 1 :].lstrip().isalpha() else ""))
     elif re.match(rf"(?i){SECRET}\s*[:=]", s):
         out.append("assigned and more")
     if re.search(r"\b(?:[0-9a-f]{16,}|[A-Z0-9]{16,})\b", s) and digits and re.search("[A-Za-z]", s):
@@ -157,7 +159,34 @@ def features(s: str, before: str, size: int) -> list[str]:
     return out
 
 
-_SECRET_END = re.compile(rf"(?i){SECRET}[\s:=]*$")
+def names_secret(text: str, low: int, end: int) -> bool:
+    """Whether the word that ends at ``end`` (and starts at ``low`` at the earliest) names a secret."""
+    start = end
+    while start > low and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        start -= 1
+    return _NAMES.search(text, start, end) is not None
+
+
+def after_name(text: str, low: int, at: int) -> bool:
+    """Whether a secret's name ends before ``at``, but for white space and assignment marks; looks back to ``low``."""
+    while at > low and (text[at - 1] in ":=" or text[at - 1].isspace()):
+        at -= 1
+    return names_secret(text, low, at)
+
+
+def assigned(s: str) -> int | None:
+    """The first assignment mark of a segment between a secret's name and its last token, of six characters or more."""
+    last = max((m.end() for m in re.finditer(r"\s+", s)), default=0)
+    marks = [m.start() for m in re.compile("[:=]").finditer(s, last, max(last, len(s) - 6))]
+    before = len(s[:last].rstrip()) - 1
+    if last and len(s) - last >= 6 and s[before] in ":=":
+        marks.insert(0, before)
+    low = 0
+    for at in marks:
+        if names_secret(s, low, low + len(s[low:at].rstrip())):
+            return at
+        low = at + 1
+    return None
 
 
 def marked(text: str, a: int, b: int) -> bool:
@@ -166,7 +195,7 @@ def marked(text: str, a: int, b: int) -> bool:
     if re.search("[0-9@]", s):
         return True
     at = max(s.rfind(":"), s.rfind("="))
-    return at >= 0 and _SECRET_END.search(text, max(0, a - 40), a + at) is not None
+    return at >= 0 and after_name(text, max(0, a - LOOK), a + at)
 
 
 class Field:
@@ -287,7 +316,7 @@ def windows(text: str) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     seen = 0
     for m in re.finditer("[0-9@:=]+", text):
-        if m.start() < seen or (m[0].strip(":=") == "" and not _SECRET_END.search(text, max(0, m.start() - 40), m.start())):
+        if m.start() < seen or (m[0].strip(":=") == "" and not after_name(text, max(0, m.start() - LOOK), m.start())):
             continue
         lo, hi = m.start(), m.end()
         back = re.compile(r"\s*\S+")

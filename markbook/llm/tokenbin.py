@@ -144,6 +144,19 @@ def encoder(tokenizer: str) -> WordEncoder:
     return _ENCODERS[tokenizer]
 
 
+def balanced(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Lists of texts that together hold about ``most`` bytes, one text at least."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t) > most:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
@@ -169,8 +182,8 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             nulls += own.null_count
             ids.append(own.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
             texts = as_bytes(batch.column(1))
-            for i in range(0, len(texts), 256):
-                coded = enc.encode(texts[i : i + 256])
+            for own_texts in balanced(texts):
+                coded = enc.encode(own_texts)
                 sizes += [len(x) // enc.width + 1 for x in coded]
                 out.write(b"".join(y for x in coded for y in (x, end)))
         if out is None:
@@ -225,6 +238,12 @@ class Shard:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.nulls else self.base + self.names.select(i - self.nulls)
 
+    def doc_ids(self, lo: int, hi: int) -> list[int | None]:
+        """Those of documents lo to hi - 1; null ones come first."""
+        none = max(0, min(hi, self.nulls) - lo)
+        own = self.names.run(max(lo - self.nulls, 0), max(hi - self.nulls, 0)).astype(np.int64) + self.base
+        return [None] * none + own.tolist()
+
     def tokens(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at((end - start) * self.width, start * self.width), f"<u{self.width}")
 
@@ -235,8 +254,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard = Shard(row["path"])
             for lo in range(0, shard.n_docs, 1024):
                 hi = min(lo + 1024, shard.n_docs)
-                bounds = np.array([shard.ends.select(i) if i >= 0 else 0 for i in range(lo - 1, hi)], np.int64)  # of these documents, by select
-                names = [shard.doc_id(i) for i in range(lo, hi)]
+                bounds = np.concatenate([[0] if lo == 0 else [], shard.ends.run(max(0, lo - 1), hi)]).astype(np.int64)  # of these documents, by select
+                names = shard.doc_ids(lo, hi)
                 first = int(bounds[0])
                 ids = shard.tokens(first, int(bounds[-1]))
                 crc = [zlib.crc32(ids[b - first : e - first].astype("<u4").tobytes()) for b, e in zip(bounds, bounds[1:])]

@@ -488,10 +488,26 @@ def transliterate_digits(t, spark):
     return t("customer").select("c_custkey", X.devanagari_digits(c("c_name")).alias("name"))
 
 
-@query()
+def _transliteration_sql() -> str:
+    """Pieces of every word, each spelt by itself and the piece before."""
+    case = lambda x, pairs, other="NULL": f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + f" ELSE {other} END"
+    signs, alone = ({k: v[i] for k, v in X.VOWELS.items()} for i in (0, 1))
+    consonant = lambda x: f"coalesce({x} IN ({', '.join(repr(k) for k in X.CONSONANTS)}), false)"
+    spelt = case("p", X.CONSONANTS, f"CASE WHEN {consonant('before')} THEN {case('p', signs)} ELSE {case('p', alone)} END")
+    return f"""WITH w AS (SELECT 'n' AS t, n_nationkey AS k, unnest(string_split(n_name || ' ' || n_nationkey || ' Aasha KHEER', ' ')) AS w, generate_subscripts(string_split(n_name || ' ' || n_nationkey || ' Aasha KHEER', ' '), 1) AS i FROM nation
+ UNION ALL SELECT 'd', doc_id, unnest(string_split_regex(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g')), ' ')), generate_subscripts(string_split_regex(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g')), ' '), 1) FROM documents WHERE text IS NOT NULL),
+q AS (SELECT *, regexp_replace(w, '[^A-Za-z]', '', 'g') AS l FROM w), p AS (SELECT t, k, i, w, l, unnest(regexp_extract_all(lower(l), '{X.PIECE}')) AS p, generate_subscripts(regexp_extract_all(lower(l), '{X.PIECE}'), 1) AS j FROM q WHERE l <> ''),
+b AS (SELECT *, lag(p) OVER (PARTITION BY t, k, i ORDER BY j) AS before, row_number() OVER (PARTITION BY t, k, i ORDER BY j DESC) = 1 AS last FROM p),
+s AS (SELECT t, k, i, string_agg({spelt} || CASE WHEN last AND {consonant('p')} THEN '{X.VIRAMA}' ELSE '' END, '' ORDER BY j) AS s FROM b GROUP BY ALL)
+SELECT q.t, q.k, string_agg(CASE WHEN l = '' THEN w ELSE coalesce(s, '') END, ' ' ORDER BY i) AS name FROM q LEFT JOIN s USING (t, k, i) GROUP BY q.t, q.k"""
+
+
+@query(_transliteration_sql())
 def transliterate_names(t, spark):
-    """The one Python kernel of the scalars; tested against spelt examples."""
-    return t("nation").select("n_nationkey", X.transliterate(c("n_name")).alias("name"))
+    """X13 over names, and over the words of whole documents."""
+    names = t("nation").select(F.lit("n").alias("t"), c("n_nationkey").cast("long").alias("k"), F.concat_ws(" ", "n_name", "n_nationkey", F.lit("Aasha KHEER")).alias("name"))
+    texts = t("documents").where("text is not null").select(F.lit("d"), "doc_id", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
+    return names.union(texts).select("t", "k", X.transliterate(c("name")).alias("name"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Commerce & Management' WHEN 1 THEN 'Science & Technology' WHEN 2 THEN 'Humanities' ELSE '' END AS faculty, CASE p_size % 4 WHEN 0 THEN 'Two Year Degree Course' WHEN 3 THEN '' ELSE 'Three Year Degree Course' END AS course,
@@ -688,7 +704,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> None:
-    from markbook import document_queries, plan_queries, workbook_queries  # noqa: F401  (they register theirs)
+    from markbook import document_queries, plan_queries, record_queries, workbook_queries  # noqa: F401  (they register theirs)
 
 
 def queries() -> dict[str, Query]:

@@ -1,13 +1,12 @@
-"""Column expressions over text cells. All of them are null-safe and stay inside the JVM but ``transliterate``."""
+"""Column expressions over text cells. All of them are null-safe and stay inside the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 SPACES = r"(?U)^\s+|\s+$"
 
@@ -22,6 +21,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(text(c), SPACES, "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     return strip(c) == ""
 
@@ -214,30 +218,41 @@ VOWELS = {"aa": ("ा", "आ"), "ee": ("ी", "ई"), "oo": ("ू", "ऊ"), "ai"
 VIRAMA = "्"
 
 
+PIECE = "|".join([*sorted(CONSONANTS, key=len, reverse=True), *sorted(VOWELS, key=len, reverse=True)])
+
+
+def _lookup(piece: Column, pairs: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), piece)
+
+
+def devanagari(word: Column) -> Column:
+    """Latin letters to Devanagari, longest piece first; a consonant at the end is without its vowel.
+
+    A transducer whose only state is whether the piece before was a consonant, so each piece is spelt by itself and the one before.
+    """
+    pieces = F.regexp_extract_all(F.lower(word), F.lit(PIECE), F.lit(0))
+    consonant = lambda p: _lookup(p, CONSONANTS)
+    signs, alone = ({k: v[i] for k, v in VOWELS.items()} for i in (0, 1))
+
+    def spelt(p: Column, i: Column) -> Column:
+        opened = F.coalesce(consonant(F.get(pieces, i - 1)).isNotNull(), F.lit(False))
+        return F.coalesce(consonant(p), F.when(opened, _lookup(p, signs)).otherwise(_lookup(p, alone)))
+
+    end = F.when(consonant(F.try_element_at(pieces, F.lit(-1))).isNotNull(), VIRAMA).otherwise("")
+    return F.concat(F.array_join(F.transform(pieces, spelt), ""), end)
+
+
+def transliterate(name: Column) -> Column:
+    """Every word of a name; a word without letters stays."""
+    letters = lambda w: F.regexp_replace(w, "[^A-Za-z]", "")
+    words = F.split(strip(name), r"\s+")
+    return F.when(name.isNotNull(), F.array_join(F.transform(words, lambda w: F.when(letters(w) == "", w).otherwise(devanagari(letters(w)))), " "))
+
+
 def devanagari_word(word: str) -> str:
-    """Latin letters to Devanagari, longest piece first; a consonant at the end is without its vowel."""
-    import re
-
-    piece = re.compile("|".join(sorted(CONSONANTS, key=len, reverse=True)) + "|" + "|".join(sorted(VOWELS, key=len, reverse=True)))
-    out, open_ = "", False
-    for m in piece.finditer(word.lower()):
-        if m[0] in CONSONANTS:
-            out, open_ = out + CONSONANTS[m[0]], True
-        else:
-            out, open_ = out + VOWELS[m[0]][0 if open_ else 1], False
-    return out + VIRAMA * open_
-
-
-def devanagari_name(name: str | None) -> str | None:
-    if name is None:
-        return None
-    letters = lambda w: "".join(ch for ch in w if ch.isascii() and ch.isalpha())
-    return " ".join(devanagari_word(letters(w)) if letters(w) else w for w in name.split())
-
-
-@F.pandas_udf(StringType())
-def transliterate(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """X13 over a column, in Arrow batches; each distinct name of a batch is spelt once."""
-    for s in names:
-        seen = {x: devanagari_name(x) for x in s.dropna().unique()}
-        yield pd.Series([seen.get(x) for x in s], index=s.index, dtype=object)
+    """``devanagari`` of one word on the driver."""
+    out, opened = "", False
+    for m in re.finditer(PIECE, word.lower()):
+        out += CONSONANTS.get(m[0]) or VOWELS[m[0]][0 if opened else 1]
+        opened = m[0] in CONSONANTS
+    return out + VIRAMA * opened

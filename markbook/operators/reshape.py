@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markbook.functions.text import let
+
 
 def crosstab_sum(df: DataFrame, rows: Sequence[str], column: str, values: Sequence, measure: str, total: str | None = "total") -> DataFrame:
     """Sums by row and column value, absent cells 0, and the total over the given values."""
@@ -54,12 +56,19 @@ def cell_positions(cells: Column) -> Column:
     return F.aggregate(cells, start, step, lambda s: s["at"])
 
 
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often they are used later: a generator keeps the optimizer
+    from putting their expressions in place of their names."""
+    made = F.explode(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))).alias("__once")
+    return df.select("*", made).select(*(f"`{c}`" for c in df.columns if c not in columns), "__once.*")
+
+
 def pipe_cells(line: Column, label: str = "") -> Column:
     """M4: trimmed cells of a ``|`` row without its label; one empty cell at the end goes."""
     s = F.trim(F.coalesce(line, F.lit("")))
     body = F.when(s.startswith(label), F.substr(s, F.lit(len(label) + 1))).otherwise(s) if label else s
     cells = F.transform(F.split(body, r"\|", -1), lambda x: F.trim(x))
-    return F.when(F.element_at(cells, -1) == "", F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
+    return let(cells, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
 
 
 def semester_map(keys: Column, values: Column) -> Column:

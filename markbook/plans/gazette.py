@@ -12,7 +12,7 @@ from markbook.functions.numbers import grade_points, number, percent_or, split_r
 from markbook.operators import scan
 from markbook.operators.filters import NOISE, content_lines
 from markbook.operators.joins import lookup
-from markbook.operators.reshape import exploded, zipped
+from markbook.operators.reshape import exploded, once, zipped
 from markbook.operators.windows import blocks, segments, split_at
 
 RESULT_PAGE = r"\d{9,14}\s+[A-Z0-9]+|\bTotal\s*\|"
@@ -28,10 +28,9 @@ def students(lines: DataFrame, phrases: Sequence[str] = NOISE) -> DataFrame:
     numbered = segments(kept, F.col("text").rlike(E.HEADER_LINE), ["page", "line_no"], ["doc"], "block")
     packed = numbered.groupBy("doc", "block").agg(F.sort_array(F.collect_list(F.struct("page", "line_no", "text"))).alias("l"))
     rows = packed.select("doc", "block", F.transform("l", lambda x: x["text"]).alias("lines"))
-    rows = rows.withColumn("h", E.student_header(F.col("lines")[0])).where("h is not null").withColumn("body", F.slice("lines", F.lit(2), F.size("lines") - 1))
-    rows = rows.withColumns(E.block_subjects(F.col("body")))
-    joined = F.array_join("body", " ")
-    rows = rows.withColumns({**E.final_metrics(joined), "semesters": E.semester_metrics(joined), "marks": split_ratio(F.col("grand_total"))})
+    rows = once(rows, {"h": E.student_header(F.col("lines")[0]), "body": F.slice("lines", F.lit(2), F.size("lines") - 1)}).where("h is not null")
+    rows = once(rows, {**E.block_subjects(F.col("body")), "joined": F.array_join("body", " ")})
+    rows = once(rows, {**E.final_metrics(F.col("joined")), "semesters": E.semester_metrics(F.col("joined")), "marks": split_ratio(F.col("grand_total"))}).drop("joined")
     lists = zipped({k: F.col(k) for k in ("codes", "internal", "theory", "totals", "points")})
     made = F.transform(lists, lambda s: F.struct(s["codes"].alias("code"), s["internal"].alias("internal"), s["theory"].alias("theory"), E.total_segment(s["totals"]).alias("t"), s["points"].alias("cg")))
     held = F.col("h.abeyance")

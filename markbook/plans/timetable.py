@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from markbook.operators.graph import assign_slots, cluster_names, conflict_graph
 from markbook.operators.joins import flagged_lookup
 from markbook.operators.reshape import crosstab_sum, crosstab_text
 from markbook.operators.schema import bind
+from markbook.sources.sheetwriter import Sheet, write_workbooks
 
 WANTED = {
     "school": ("School Name",), "programme": ("Program Name",), "abbreviation": ("Program Abbreviation",), "year": ("Current Academic Year",), "session": ("Current Session",), "subject": ("Module Description",),
@@ -74,6 +77,35 @@ def analysis_grid(scheduled: DataFrame, columns: list[str], column: str = "schoo
     return crosstab_sum(scheduled, ["day", "time"], column, columns, "students").orderBy("day", "time")
 
 
+def discovered(df: DataFrame, column: str, most: int = 512) -> list:
+    """The sorted distinct values of a column that become columns; more than ``most`` are refused."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return found
+
+
+def grids(scheduled: DataFrame, keys: Sequence[str] = ("school", "session")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Schedule, timetable and analysis of papers with day, time, secs, subject, year, students.
+
+    Columns are found first: one for each (school, session), ordered. Rows stand in order of day and time; in a cell the longest
+    paper comes first.
+    """
+    placed = scheduled.withColumn("column", F.concat_ws(" / ", *keys))
+    columns = discovered(placed, "column")
+    order = ["day", F.desc("secs"), "time", *keys, "subject"]
+    return placed.drop("column").orderBy(*order), timetable_grid(placed, columns, "column"), analysis_grid(placed, columns, "column")
+
+
+def timetable_workbook(folder: str, scheduled: DataFrame, incomplete: DataFrame | None = None, name: str = "Timetable") -> DataFrame:
+    """K7: schedule, timetable, analysis and, where there is one, the incomplete data, as sheets of one workbook."""
+    schedule, timetable, analysis = grids(scheduled)
+    sheets = {"Schedule": Sheet(schedule.withColumn("__less", -F.col("secs")), ["day", "__less", "time", "school", "session", "subject"], ["secs", "__less"]), "Timetable": Sheet(timetable, ["day", "time"]), "Analysis": Sheet(analysis, ["day", "time"])}
+    if incomplete is not None:
+        sheets["Incomplete Data"] = Sheet(incomplete, incomplete.columns[:1])
+    return write_workbooks(folder, sheets, name=name)
+
+
 def working_days(spark: SparkSession, start: str, n: int, holidays: DataFrame | None = None) -> DataFrame:
     from markbook.functions.dates import working_days as days
 

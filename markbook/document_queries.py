@@ -135,6 +135,22 @@ def gazette_semesters(t, spark):
     return rows.select("doc", "s.semester", "s.credits", "s.cg", "s.sgpa", "s.fails")
 
 
+def _wide_sql() -> str:
+    subject = {1: ("CAST(k % 25 AS VARCHAR)", "'50'", "CAST(m1 AS VARCHAR)", "'A'", "'9'", "'4'"), 2: ("'15'", "'20'", "CASE WHEN f2 THEN '35' ELSE '45+' END", "CASE WHEN f2 THEN 'F' ELSE 'B+' END", "CASE WHEN f2 THEN '0' ELSE '7' END", "CASE WHEN f2 THEN '0' ELSE '4' END"), 3: ("'18'", "'40'", "'58'", "'B$'", "'7'", "'4'")}
+    cells = [f"""CASE WHEN NOT held THEN {v} END AS "BCOM10{i} {f}" """ for i, vs in subject.items() for f, v in zip(GZ.SUBJECT_SHOWN, vs)]
+    semesters = {"I": ("'8'", "'60'", "k % 10 || '.3'"), "II": ("'9'", "''", "''")}
+    cells += [f"""{v} AS "Sem {s} {f}" """ for s, vs in semesters.items() for f, v in zip(GZ.SEMESTER_SHOWN, vs)]
+    return BLOCKS + f"""SELECT k AS doc, CAST(sap AS VARCHAR) AS sap_no, 'A' || k AS roll_no, 'MU2024X' AS prn, {', '.join(cells)}, '20' AS total_credit, '7.5' AS cgpa, 'A+' AS final_grade,
+ CASE WHEN held THEN 'Result in abeyance' WHEN f2 THEN 'Unsuccessful' ELSE 'Successful' END AS result FROM b"""
+
+
+@query(_wide_sql())
+def gazette_wide(t, spark):
+    """Students with all subjects and semesters found, side by side."""
+    got = GZ.wide(GZ.students(gazette_lines(t)), ("sap_no", "roll_no", "prn"), ("total_credit", "cgpa", "final_grade", "result"))
+    return got.drop("block")
+
+
 @query("""SELECT p_partkey, '2X' || 'LAW' || p_size AS code, p_name AS title, CASE WHEN p_size % 2 = 0 THEN '2.5' ELSE '0' END AS credits, '25' AS internal, '75' AS theory, CAST(p_size AS VARCHAR) AS total FROM part WHERE p_size < 40""")
 def gazette_catalogue(t, spark):
     """Y10."""

@@ -13,6 +13,7 @@ from markbook.operators import scan
 from markbook.operators.filters import NOISE, content_lines
 from markbook.operators.joins import lookup
 from markbook.operators.reshape import exploded, once, zipped
+from markbook.operators.schema import semester_rank
 from markbook.operators.windows import blocks, segments, split_at
 
 RESULT_PAGE = r"\d{9,14}\s+[A-Z0-9]+|\bTotal\s*\|"
@@ -51,6 +52,35 @@ def subject_rows(found: DataFrame, titles: DataFrame | None = None) -> DataFrame
     return rows.withColumns({"failed": fail, "unsuccessful": F.lower("result").startswith("unsuccessful"), "fill": fill})
 
 
+SUBJECT_SHOWN = ("internal", "theory", "marks", "grade", "points", "credits")
+SEMESTER_SHOWN = ("credits", "cg", "sgpa")
+
+
+def found_names(found: DataFrame, most: int = 4096) -> tuple[list[str], list[str]]:
+    """Subject codes, sorted, and semesters, in their order, of all students; more than ``most`` are refused."""
+    both = found.select(F.explode(F.transform("subjects", lambda s: F.struct(F.lit("subject").alias("kind"), s["code"].alias("name")))).alias("x"))
+    both = both.union(found.select(F.explode(F.transform("semesters", lambda s: F.struct(F.lit("semester").alias("kind"), s["semester"].alias("name"))))))
+    names = both.select("x.*").where("name <> ''").distinct().limit(most + 1).collect()
+    if len(names) > most:
+        raise ValueError(f"a gazette has more than {most} subjects and semesters")
+    return sorted(r.name for r in names if r.kind == "subject"), sorted((r.name for r in names if r.kind == "semester"), key=lambda x: (semester_rank(x), x))
+
+
+def wide(found: DataFrame, ids: Sequence[str] = ("sap_no", "roll_no", "name", "prn"), totals: Sequence[str] = ("percentage", "total_credit", "cgpa", "final_grade", "result", "eligibility")) -> DataFrame:
+    """A row a student: doc, block and ids, then what was found of every subject and semester, then totals.
+
+    Names are found first by a combined aggregate; a student's lists become maps, read in one projection. Of a subject that a
+    student has twice the last counts; what a student doesn't have is null.
+    """
+    codes, semesters = found_names(found)
+    by = lambda lists, name: F.map_from_entries(F.transform(F.array_distinct(F.transform(lists, lambda s: s[name])), lambda k: F.struct(k, F.element_at(F.filter(lists, lambda s: s[name] == k), -1))))
+    mapped = once(found, {"__s": by(F.col("subjects"), "code"), "__m": by(F.col("semesters"), "semester")})
+    of_subject = lambda k, f: F.try_element_at("__s", F.lit(k))[f] if f in ("internal", "theory") else F.try_element_at("__s", F.lit(k))["t"][f]
+    columns = [of_subject(k, f).alias(f"{k} {f}") for k in codes for f in SUBJECT_SHOWN]
+    columns += [F.try_element_at("__m", F.lit(k))[f].alias(f"Sem {k} {f}") for k in semesters for f in SEMESTER_SHOWN]
+    return mapped.select("doc", "block", *ids, *columns, *totals)
+
+
 def catalogue(lines: DataFrame) -> DataFrame:
     """Courses of a gazette's second page."""
     return lines.select(E.catalogue(F.col("text")).alias("c")).where("c is not null").select("c.*")

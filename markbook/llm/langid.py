@@ -251,8 +251,12 @@ def identify(docs: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:
     return predict(docs, model, keep=("doc_id", "held_out"))
 
 
-def accepted(docs: DataFrame, least: float = 0.1) -> DataFrame:
-    """The documents that read as some learned language: their score is ``least`` or more. All columns stay."""
+def accepted(docs: DataFrame, least: float = 0.1, few: int = 20) -> DataFrame:
+    """The documents that read as some learned language: their score is ``least`` or more. All columns stay.
+
+    A text under ``few`` characters tells too little to be refused for its score; it goes only if it has no letter.
+    """
     model = train(docs)
     rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text")
-    return predict(rows, model, keep=("row",)).where(F.col("score") >= least).select("row.*")
+    short = (F.col("lang_pred") != UNDETERMINED) & (F.length("row.text") < few)
+    return predict(rows, model, keep=("row",)).where((F.col("score") >= least) | short).select("row.*")

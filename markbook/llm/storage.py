@@ -7,15 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.session import own_folder
+from markbook.session import checkpointing
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set where none is named, but not on a cluster."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = own_folder(spark.sparkContext.master)
-        spark.conf.set("spark.checkpoint.dir", place)
+    """The folder named by ``spark.checkpoint.dir``; the session's own temporary one where none is named, but not on a cluster."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or checkpointing(spark).sparkContext.getCheckpointDir()
     return place.rstrip("/")
 
 

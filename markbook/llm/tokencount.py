@@ -3,7 +3,7 @@
 A text over ``PART_BYTES`` is first split at safe boundaries, so that no step holds more than a part of it. A place is safe
 where the tokenizer's own splitter always parts the text, whatever stands before or after: for byte-level tokenizers,
 before white space that follows anything else. Parts are split further at every such place, and pieces seen lately come
-from a bounded table; the others go to the library once each, in batches of about ``BATCH_BYTES`` bytes. Where nothing is
+from a bounded table; the others go to the library once each, in batches of about ``BATCH_BYTES`` bytes (counted in characters). Where nothing is
 known about a tokenizer's boundaries (``safe`` is false), whole texts are encoded, in batches of bytes as well. Only
 the number of ids leaves the workers.
 

@@ -10,6 +10,7 @@ the last one the token table. ``run`` writes each result in the shared folder an
 * mixing: every document stands as often as its fitted rate says, by domains of the labelled table;
 * token-ID output: ids in shards with Elias-Fano boundaries, read back as doc_id, start, n_tokens, ids_crc32.
 
+Of the documents, the columns of ``COLUMNS`` go through the stages; others are left out by the first one.
 A document that mixing repeats has as many rows in the last result. Empty tables pass through; nulls are as each
 operator's docstring says.
 """

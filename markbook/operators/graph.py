@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markbook.operators.joins import pairs_within
+from markbook.session import written
 
 
 def conflict_graph(df: DataFrame, member: str, node: str) -> tuple[DataFrame, DataFrame]:
@@ -84,15 +85,45 @@ def label_components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 5
         moved = new.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
         label = new
         if not moved:
-            break
-    return label
-
-
-def assign_slots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """H3 as (node, slot), one kernel a connected component; needs a checkpoint folder."""
+            return label
+    raise RuntimeError(f"labels still move after {most_rounds} rounds")
+
+
+#: Nodes and edges of a component up to which one kernel colours it, by saturation; larger ones are coloured in rounds.
+MOST_NODES, MOST_EDGES = 20_000, 1_000_000
+
+
+def color_rounds(vertices: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """H3 as (node, slot) in rounds of joins, for graphs of any size: a proper colouring with one colour more than the largest degree at most.
+
+    In a round every node without a colour picks one of the first that none of its neighbours has, by a hash, among as many
+    as it has neighbours that still wait, and one more. Of neighbours that pick the same the first by another hash keeps it.
+    """
+    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
+    state = written(vertices.select("node", F.lit(None).cast("int").alias("slot")), "slots")
+    for r in range(most_rounds):
+        if not state.where("slot is null").limit(1).count():
+            return state
+        waits = state.where("slot is null").select(F.col("node").alias("a"))
+        met = both.join(waits, "a").join(state.withColumnRenamed("node", "b"), "b")
+        near = met.groupBy("a").agg(F.collect_set("slot").alias("taken"), F.sum(F.when(F.col("slot").isNull(), 1).otherwise(0)).cast("int").alias("waiting"))
+        free = F.filter(F.sequence(F.lit(1), F.size("taken") + F.col("waiting") + 1), lambda c: ~F.array_contains("taken", c))
+        pick = F.get(free, F.pmod(F.xxhash64("a", F.lit(r)), F.col("waiting") + 1).cast("int"))
+        picked = written(waits.join(near, "a", "left").select("a", F.coalesce(pick, F.lit(1)).alias("pick")), "picks")
+        rank = lambda n: F.struct(F.xxhash64(n, F.lit(-r - 1)), F.col(n))
+        other = picked.select(F.col("a").alias("b"), F.col("pick").alias("same"))
+        lost = both.join(picked, "a").join(other, "b").where((F.col("pick") == F.col("same")) & (rank("a") > rank("b"))).select("a").distinct()
+        kept = picked.join(lost, "a", "left_anti").select(F.col("a").alias("node"), "pick")
+        state = written(state.join(kept, "node", "left").select("node", F.coalesce("slot", "pick").alias("slot")), "slots")
+    raise RuntimeError(f"nodes without a colour are left after {most_rounds} rounds")
+
+
+def assign_slots(vertices: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES, most_edges: int = MOST_EDGES) -> DataFrame:
+    """H3 as (node, slot): one kernel for a component of a bounded size, rounds of joins for larger ones; needs a checkpoint folder."""
     comp = label_components(vertices, edges)
     links = edges.join(comp, edges.a == comp.node).select("component", "a", "b")
-    rows = comp.select("component", F.col("node").alias("a"), F.lit(None).cast(comp.schema["node"].dataType).alias("b")).union(links)
+    many = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_nodes).select("component")
+    many = written(many.union(links.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_edges).select("component")).distinct(), "large")
     kind = comp.schema["node"].dataType.simpleString()
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +132,12 @@ def assign_slots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         got = color(list(pdf.loc[single, "a"]), [(a, cast(b)) for a, b in zip(pdf.loc[~single, "a"], pdf.loc[~single, "b"])])
         return pd.DataFrame({"node": list(got), "slot": list(got.values())})
 
-    return rows.groupBy("component").applyInPandas(kernel, f"node {kind}, slot int")
+    some = comp.join(many, "component", "left_anti")
+    rows = some.select("component", F.col("node").alias("a"), F.lit(None).cast(comp.schema["node"].dataType).alias("b")).union(links.join(many, "component", "left_anti"))
+    slots = rows.groupBy("component").applyInPandas(kernel, f"node {kind}, slot int")
+    if not many.limit(1).count():
+        return slots
+    return slots.union(color_rounds(comp.join(many, "component", "left_semi").select("node"), links.join(many, "component", "left_semi").select("a", "b")))
 
 
 def violations(slots: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markbook.functions.numbers import quota
+from markbook.session import written
 
 
 def latest(df: DataFrame, entity: str, order: Sequence[Column]) -> DataFrame:
@@ -49,7 +50,7 @@ def distinct_rank(df: DataFrame, c: str, name: str, start: int = 1) -> DataFrame
     Only the distinct values are ordered, not the rows: they are numbered in ranges, each from the count of those before.
     """
     values = df.select(c).where(F.col(c).isNotNull()).distinct()
-    parts = values.repartitionByRange(c).withColumn("__p", F.spark_partition_id())
+    parts = written(values.repartitionByRange(c).withColumn("__p", F.spark_partition_id()), "values")  # read twice, by the same ranges
     local = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(c)))
     ahead = parts.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = local.join(ahead.select("__p", "__before"), "__p").select(F.col(c).alias("__v"), (F.col("__r") + F.col("__before") - 1 + start).cast("int").alias(name))

@@ -42,8 +42,10 @@ def nodes(df: DataFrame, threshold: float = 1.0, manual: DataFrame | None = None
     if "mode" in rows.columns:
         rows = rows.where(F.col("mode").isNull() | (strip(F.col("mode")) == "") | (F.upper(strip(F.col("mode"))) == "WRIT"))
     rows = with_key(rows, "subject", "student").withColumn("plain", canonical_subject(F.col("subject")))
-    clusters = cluster_names(rows, "plain", "student", threshold).withColumnRenamed("name", "plain")
-    rows = rows.join(clusters, "plain", "left")
+    if threshold < 1:
+        rows = rows.join(cluster_names(rows, "plain", "student", threshold).withColumnRenamed("name", "plain"), "plain", "left")
+    else:  # every name is its own cluster
+        rows = rows.withColumn("cluster", F.col("plain"))
     if manual is not None:
         rows = rows.join(manual.select(canonical_subject(F.col("description")).alias("plain"), F.col("group").alias("manual")).dropDuplicates(["plain"]), "plain", "left")
     else:

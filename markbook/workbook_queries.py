@@ -147,15 +147,16 @@ def sheetml(t, spark) -> str:
     from pyspark.sql import Window
 
     cell = lambda text, attrs="": F.concat(F.lit(f'<Cell{attrs}><Data ss:Type="String">'), text, F.lit("</Data></Cell>"))
-    customers = t("customer").withColumn("doc", E("c_custkey div 1000")).withColumn("i", F.row_number().over(Window.partitionBy("doc").orderBy("c_custkey")) - 1)
+    within = Window.partitionBy("doc").orderBy("c_custkey")
+    customers = t("customer").withColumn("doc", E("c_custkey div 1000")).withColumn("i", F.row_number().over(within) - 1).withColumn("last", F.lead("c_custkey").over(within).isNull())
     first = F.concat(F.lit("<Row"), F.when(c("i") == 0, ' ss:Index="4"').otherwise(""), F.lit(">"), cell(c("c_custkey"), ' ss:MergeDown="1"'), cell(c("c_name"), ' ss:MergeAcross="1"'), cell(c("c_nationkey"), ' ss:Index="5"'), F.lit("</Row>"))
     rows = F.concat(first, F.lit('<Row ss:Height="12">'), cell(c("c_mktsegment"), ' ss:Index="3"'), F.lit("</Row>"), F.when(c("i") % 10 == 9, '<Row ss:Height="3"/>').otherwise(""))
-    docs = customers.select("doc").distinct()
-    head = F.concat(F.lit('<?xml version="1.0"?><Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet ss:Name="Gazette"><Table><Column ss:Width="30"/><Row>'), cell(F.concat(F.lit("RESULT GAZETTE "), c("doc")), ' ss:MergeAcross="4"'), F.lit("</Row>"))
-    tail = F.lit('</Table></Worksheet><Worksheet ss:Name="Other"><Table><Row><Cell><Data ss:Type="String">other</Data></Cell></Row></Table></Worksheet></Workbook>')
-    lines = docs.select("doc", F.lit(-1).cast("long").alias("no"), head.alias("line")).union(customers.select("doc", c("i").cast("long"), rows)).union(docs.select("doc", F.lit(1 << 40), tail))
+    head = F.concat(F.lit('<?xml version="1.0"?><Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet ss:Name="Gazette"><Table><Column ss:Width="30"/><Row>'), cell(F.concat(F.lit("RESULT GAZETTE "), c("doc")), ' ss:MergeAcross="4"'), F.lit("</Row>\n"))
+    tail = F.lit('\n</Table></Worksheet><Worksheet ss:Name="Other"><Table><Row><Cell><Data ss:Type="String">other</Data></Cell></Row></Table></Worksheet></Workbook>')
+    # One frame, so that a document is one task's: over a union whose sides are dealt by ``doc`` already, Spark leaves a repartition out and may cut the sides apart.
+    lines = customers.select("doc", "i", F.concat(F.when(c("i") == 0, head).otherwise(""), rows, F.when(c("last"), tail).otherwise("")).alias("line"))
     folder = shared_folder(spark)
-    lines.repartition("doc").sortWithinPartitions("doc", "no").select("doc", "line").write.partitionBy("doc").text(folder)
+    lines.repartition("doc").sortWithinPartitions("doc", "i").select("doc", "line").write.partitionBy("doc").text(folder)
     return folder
 
 

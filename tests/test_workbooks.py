@@ -221,3 +221,22 @@ def test_grid_cover_and_widths(spark):
 def test_ids_are_joined(spark):
     df = spark.createDataFrame([(["1", " r ", "", "ap", "n", "x", "y"],), (["2"],)], "r array<string>")
     assert rows(df.select(spreadsheetml.joined_ids(F.col("r")))) == [(["1", "r\nap", "n", "x", "y"],), (["2", "", ""],)]
+
+
+def test_a_document_is_one_file(spark):
+    """Small partitions make Spark deal a document's parts to several tasks where they come from several frames."""
+    from markbook import workbook_queries
+
+    confs = {"advisoryPartitionSizeInBytes": "64b", "coalescePartitions.minPartitionSize": "64b", "coalescePartitions.parallelismFirst": "false"}
+    for k, v in confs.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    try:
+        customers = spark.range(15_000).selectExpr("id as c_custkey", "concat('c', id) as c_name", "cast(id % 25 as int) as c_nationkey", "'BUILDING' as c_mktsegment")
+        folder = workbook_queries.sheetml(lambda name: customers, spark)
+    finally:
+        for k in confs:
+            spark.conf.unset(f"spark.sql.adaptive.{k}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).groupBy("doc").count()
+    assert {r["count"] for r in files.collect()} == {1} and files.count() == 15
+    seen = spreadsheetml.cells(spark, folder)
+    assert seen.where("text = 'other'").count() == 0 and seen.where("row = 0").count() == 15

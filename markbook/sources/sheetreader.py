@@ -6,6 +6,9 @@ their numbers, so the rows of one sheet are parsed by many tasks, by Spark's own
 joined by their number, never a list in a task: broadcast up to a counted bound; beyond it strings that very many cells
 name are broadcast and the rest are joined by shuffle.
 
+Blocks are small, since Spark's Parquet reader takes thousands of rows at a time, of any width: BLOCK bounds what a task holds.
+A sheet that continues another one (``sheetwriter``) is read as rows of that one, without its header.
+
 Files that are no workbooks, and blocks that are no XML, are rows of the rejects, not errors.
 """
 
@@ -25,10 +28,11 @@ from pyspark.sql import functions as F
 
 from markbook.operators.reshape import cell_positions
 from markbook.session import importable, written
+from markbook.sources.sheetwriter import CONTINUES
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-BLOCK, READ = 1 << 18, 1 << 16
+BLOCK, READ, GATHER = 1 << 13, 1 << 13, 1 << 20
 MOST_BROADCAST, OFTEN = 200_000, 100_000
 
 BLOCKS = "path string, kind string, sheet string, sheet_no int, block int, first int, xml string"
@@ -45,15 +49,16 @@ class Workbooks(NamedTuple):
     rejects: DataFrame
 
 
-def blocks_of(stream, item: str, container: str) -> Iterator[tuple[int, str]]:
+def blocks_of(stream, item: str, container: str, skip: int = 0) -> Iterator[tuple[int, str]]:
     """(first item's number, XML) of runs of whole ``item`` elements inside ``container``, each a document with the part's root.
 
+    The first ``skip`` items are left out.
     Markup can't stand in text, so tags are found by their names; a name may have a prefix.
     """
     start = re.compile(rb"<(?:\w+:)?%s[\s/>]" % item.encode())
     held, head, n = b"", None, 0
     while True:
-        more = stream.read(READ)
+        more = stream.read(max(READ, len(held)))  # a long item is looked through a few times only
         held += more
         if head is None:
             root = re.search(rb"<(?:(\w+):)?(\w+)[^>]*[^/?]>(?=.|$)", held, re.S)
@@ -79,6 +84,9 @@ def blocks_of(stream, item: str, container: str) -> Iterator[tuple[int, str]]:
             continue
         else:
             raise ET.ParseError(f"{container} has no end")
+        if skip and body:
+            at = [m.start() for m in start.finditer(body)]
+            body, skip = (body[at[skip] :], 0) if len(at) > skip else (b"", skip - len(at))
         if body:
             yield n, (head + body + tail).decode()
             n += len(start.findall(body))
@@ -94,29 +102,46 @@ def _parts(data: bytes) -> Iterator[tuple[str, str | None, int, int, int, str]]:
             with z.open("xl/sharedStrings.xml") as s:
                 for i, (first, xml) in enumerate(blocks_of(s, "si", "sst")):
                     yield "shared", None, -1, i, first, xml
-        for no, sheet in enumerate(ET.parse(z.open("xl/workbook.xml")).getroot().iter(f"{NS}sheet")):
+        book = ET.parse(z.open("xl/workbook.xml")).getroot()
+        sheets = list(book.iter(f"{NS}sheet"))
+        ties = {int(d.get("localSheetId", -1)): (d.text or "").rpartition("!")[0][1:-1].replace("''", "'") for d in book.iter(f"{NS}definedName") if d.get("name") == CONTINUES}
+        numbers, lengths, blocks = {}, {}, {}  # of first sheets by name; rows and blocks so far, by number
+        for place, sheet in enumerate(sheets):
             target = links[sheet.get(REL)]
-            i = -1
+            further = ties.get(place) in numbers
+            name = ties[place] if further else sheet.get("name")
+            no = numbers.setdefault(name, len(numbers))
+            first, xml, before = -1, "", lengths.get(no, 0)
             with z.open(target if target.startswith("xl/") else f"xl/{target}") as s:
-                for i, (first, xml) in enumerate(blocks_of(s, "row", "sheetData")):
-                    yield "rows", sheet.get("name"), no, i, first, xml
-            if i < 0:
-                yield "empty", sheet.get("name"), no, 0, 0, ""
+                for first, xml in blocks_of(s, "row", "sheetData", int(further)):
+                    yield "rows", name, no, blocks.get(no, 0), before + first, xml
+                    blocks[no] = blocks.get(no, 0) + 1
+            if first >= 0:
+                lengths[no] = before + first + len(re.findall(r"<(?:\w+:)?row[\s/>]", xml))
+            elif not further:
+                yield "empty", name, no, 0, 0, ""
 
 
 def _cut(every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("sheet", pa.string()), ("sheet_no", pa.int32()), ("block", pa.int32()), ("first", pa.int32()), ("xml", pa.string())])
-        row = lambda *r: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(r, schema)], schema=schema)
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
         for batch in batches:
             for i in range(batch.num_rows):
                 path = batch.column(0)[i].as_py()
+                held, size = [], 0
                 try:
                     for kind, sheet, no, block, first, xml in _parts(batch.column(1)[i].as_py()):
                         if every or no <= 0:
-                            yield row(path, kind, sheet, no, block, first, xml)
+                            held.append((path, kind, sheet, no, block, first, xml))
+                            size += len(xml)
+                        if size >= GATHER:
+                            yield packed(held)
+                            held, size = [], 0
                 except (zipfile.BadZipFile, zlib.error, KeyError, EOFError, ET.ParseError, UnicodeDecodeError, NotImplementedError, RuntimeError) as e:
-                    yield row(path, "error", None, -1, 0, 0, f"{type(e).__name__}: {e}")
+                    held.append((path, "error", None, -1, 0, 0, f"{type(e).__name__}: {e}"))
+                if held:
+                    yield packed(held)
 
     return run
 
@@ -188,7 +213,8 @@ def read(spark: SparkSession, paths: str | Sequence[str], every_sheet: bool = Fa
     cells = _dense(F.col("at"), F.col("values"), F.col("width"))
     if blank is not None:
         cells = F.transform(cells, lambda v: F.coalesce(v, F.lit(blank)))
-    full = rows.join(widths, ["path", "sheet_no"]).select("path", "sheet", "sheet_no", "_row_no", cells.alias("cells"))
+    widths = written(widths, "widths")  # a row a sheet
+    full = rows.join(F.broadcast(widths) if widths.count() <= MOST_BROADCAST else widths, ["path", "sheet_no"]).select("path", "sheet", "sheet_no", "_row_no", cells.alias("cells"))
     none = cut.where("kind = 'empty'").select("path", "sheet", "sheet_no", F.lit(0).alias("_row_no"), F.array().cast("array<string>").alias("cells"))
     broken = parsed.where("doc is null").select("path", "sheet", F.concat(F.lit("rows from "), "first", F.lit(" are no XML")).alias("why"))
     return Workbooks(full.union(none), cut.where("kind = 'error'").select("path", "sheet", F.col("xml").alias("why")).union(broken))

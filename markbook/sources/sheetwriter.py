@@ -6,7 +6,9 @@ table. Then one task a workbook streams its fragments, in order, into one contai
 the other, and their checksums combine. A container gets a name of its own for each attempt; the driver renames those that
 Spark committed, so a lost executor or a repeated task leaves nothing under the final name.
 
-A sheet holds ``MOST_ROWS`` rows by the format, so a workbook is of a bounded size; more are refused.
+A sheet holds ``MOST_ROWS`` rows by the format. More are refused, or go on in sheets of their own right after it, each with
+the header, which a hidden name of the sheet (``CONTINUES``, a reference to the first one) ties together: ``sheetreader`` reads
+them as one. The entries beside the sheets stand last, when the number of sheets is known.
 Numbers and truth values are cells of their kind, null is an empty cell, all else is text; characters that XML can't hold
 are dropped. Containers are written through ``pyarrow.fs``, which must know the target's scheme.
 """
@@ -34,6 +36,7 @@ from markbook.operators.schema import unique_names
 from markbook.session import importable, written
 
 MOST_ROWS = 1_048_576
+CONTINUES = "_continues"
 FRAGMENT = 1 << 20
 # Names of the format.
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -49,11 +52,13 @@ WRITTEN = "book string, path string, n_rows long, n_bytes long"
 
 @dataclass(frozen=True)
 class Sheet:
-    """Rows of one sheet, over all workbooks: ``order`` sorts them, ``hidden`` columns aren't written."""
+    """Rows of one sheet, over all workbooks: ``order`` sorts them, ``hidden`` columns aren't written; if it ``continues``, rows
+    beyond those of a sheet go on in further ones, else they are refused."""
 
     df: DataFrame
     order: Sequence[str] = ()
     hidden: Sequence[str] = field(default_factory=tuple)
+    continues: bool = False
 
 
 def sheet_names(names: Sequence[str]) -> list[str]:
@@ -155,43 +160,50 @@ class Container:
         return self.at
 
 
-def package_parts(names: Sequence[str]) -> dict[str, str]:
-    """The entries of a workbook beside its sheets."""
+def package_parts(names: Sequence[str], of: Sequence[int | None] = ()) -> dict[str, str]:
+    """The entries of a workbook beside its sheets; ``of``: for each sheet the place of the one that it continues, if any."""
     n = range(1, len(names) + 1)
     kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{KIND}.worksheet+xml"/>' for i in n)
     links = "".join(f'<Relationship Id="rId{i}" Type="{OFFICE}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n)
     sheets = "".join(f'<sheet name={quoteattr(x)} sheetId="{i}" r:id="rId{i}"/>' for i, x in zip(n, names))
+    place = lambda x: "'" + x.replace("'", "''") + "'!$A$1"
+    ties = "".join(f'<definedName name="{CONTINUES}" localSheetId="{i}" hidden="1">{escape(place(names[x]))}</definedName>' for i, x in enumerate(of) if x is not None)
+    ties = f"<definedNames>{ties}</definedNames>" if ties else ""
     defaults = f'<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{KIND}.sheet.main+xml"/>'
     return {
         "[Content_Types].xml": f'{HEAD}<Types xmlns="{PACKAGE}/content-types">{defaults}{kinds}</Types>',
         "_rels/.rels": f'{HEAD}<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="rId1" Type="{OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/_rels/workbook.xml.rels": f'{HEAD}<Relationships xmlns="{PACKAGE}/relationships">{links}</Relationships>',
-        "xl/workbook.xml": f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{OFFICE}"><sheets>{sheets}</sheets></workbook>',
+        "xl/workbook.xml": f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{OFFICE}"><sheets>{sheets}</sheets>{ties}</workbook>',
     }
 
 
-def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fragmenter(most_rows: int):
     """Runs of rows of one sheet of one workbook, compressed."""
-    from pyspark import TaskContext
 
-    part, seq, held, size, of = TaskContext.get().partitionId(), 0, [], 0, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seq, held, size, of = TaskContext.get().partitionId(), 0, [], 0, None
 
-    def out() -> pa.RecordBatch:
-        raw = "".join(held).encode()
-        row = [of[0], of[1], part, seq, len(held), len(raw), zlib.crc32(raw), deflated(raw)]
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["book", "sheet_no", "part", "seq", "n_rows", "raw", "crc", "data"])
+        def out() -> pa.RecordBatch:
+            raw = "".join(held).encode()
+            row = [of[0], of[1], part, seq, len(held), len(raw), zlib.crc32(raw), deflated(raw)]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["book", "sheet_no", "part", "seq", "n_rows", "raw", "crc", "data"])
+
+        for batch in batches:
+            for book, sheet_no, xml in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and (size >= FRAGMENT or len(held) >= most_rows - 1 or of != (book, sheet_no)):
+                    yield out()
+                    held, size, seq = [], 0, seq + 1
+                of = (book, sheet_no)
+                held.append(xml)
+                size += len(xml)
+        if held:
+            yield out()
 
-    for batch in batches:
-        for book, sheet_no, xml in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if held and (size >= FRAGMENT or of != (book, sheet_no)):
-                yield out()
-                held, size, seq = [], 0, seq + 1
-            of = (book, sheet_no)
-            held.append(xml)
-            size += len(xml)
-    if held:
-        yield out()
+    return run
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -201,53 +213,72 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
         raise ValueError(f"workbooks can't be written at {path}: no file system for its scheme") from e
 
 
-def _assembler(folder: str, names: Sequence[str], heads: Sequence[str]):
+def further_name(names: Sequence[str], of: str, n: int) -> str:
+    """A name for the ``n``-th sheet of those that hold the rows of ``of``, which ``names`` doesn't have."""
+    taken, end = {x.lower() for x in names}, f" ({n})"
+    while (name := of[: 31 - len(end)] + end).lower() in taken:
+        end += "_"
+    return name
+
+
+def _assembler(folder: str, names: Sequence[str], heads: Sequence[str], continues: Sequence[bool], most_rows: int):
     """Streams the fragments of workbooks, in order, into containers."""
     before = f'{HEAD}<worksheet xmlns="{MAIN}"><sheetData>'
 
-    def begin(box: Container, no: int) -> None:
-        box.open(f"xl/worksheets/sheet{no + 1}.xml")
+    def begin(box: Container, no: int, made: list) -> None:
+        """Opens a sheet: the first for ``names[no]``, or a further one. ``made``: name, number and place of the first, of every sheet so far."""
+        own = [i for i, x in enumerate(made) if x[1] == no]
+        made.append((further_name([*names, *(x[0] for x in made)], names[no], len(own) + 1) if own else names[no], no, own[0] if own else None))
+        box.open(f"xl/worksheets/sheet{len(made)}.xml")
         raw = (before + heads[no]).encode()
         box.add(deflated(raw), len(raw), zlib.crc32(raw))
 
-    def upto(box: Container, now: int, wanted: int) -> int:
+    def end(box: Container) -> None:
+        box.close(b"</sheetData></worksheet>")
+
+    def upto(box: Container, now: int, wanted: int, made: list) -> int:
         """Closes and opens sheets until ``wanted`` is open."""
         while now < wanted:
             if now >= 0:
-                box.close(b"</sheetData></worksheet>")
+                end(box)
             now += 1
             if now < len(names):
-                begin(box, now)
+                begin(box, now, made)
         return now
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = box = path = None
-        now, rows, counts = -1, 0, {}
+        now, rows, held, made = -1, 0, 0, []
 
         def done() -> pa.RecordBatch:
-            upto(box, now, len(names))
+            upto(box, now, len(names), made)
+            for name, text in package_parts([x[0] for x in made], [x[2] for x in made]).items():
+                box.whole(name, text)
             size = box.finish()
             box.out.close()
             return pa.RecordBatch.from_pydict({"book": [book], "path": [path], "n_rows": pa.array([rows], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for own, sheet_no, n, raw, crc, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for own, sheet_no, n, raw, crc, data in (tuple(batch.column(i)[k].as_py() for i in range(6)) for k in range(batch.num_rows)):
                 if own != book:
                     if box is not None:
                         yield done()
-                    book, now, rows, counts = own, -1, 0, {}
+                    book, now, rows, held, made = own, -1, 0, 0, []
                     path = f"{folder}/.{uuid.uuid4().hex}.part"
                     where, place = _opened(path)
                     where.create_dir(place.rsplit("/", 1)[0], recursive=True)
                     box = Container(where.open_output_stream(place))
-                    for name, text in package_parts(names).items():
-                        box.whole(name, text)
-                now = upto(box, now, sheet_no)
-                counts[sheet_no] = counts.get(sheet_no, 0) + n
-                if counts[sheet_no] >= MOST_ROWS:
-                    raise ValueError(f"{book}, {names[sheet_no]}: a sheet holds {MOST_ROWS - 1} rows and a header")
+                if now < sheet_no:
+                    now, held = upto(box, now, sheet_no, made), 0
+                if held + n >= most_rows:
+                    if not continues[sheet_no]:
+                        raise ValueError(f"{book}, {names[sheet_no]}: a sheet holds {most_rows - 1} rows and a header")
+                    end(box)
+                    begin(box, sheet_no, made)
+                    held = 0
                 if n:
                     box.add(data, raw, crc)
+                held += n
                 rows += n
         if box is not None:
             yield done()
@@ -255,10 +286,10 @@ def _assembler(folder: str, names: Sequence[str], heads: Sequence[str]):
     return run
 
 
-def write_workbooks(folder: str, sheets: Mapping[str, Sheet], by: str | None = None, name: str = "book") -> DataFrame:
+def write_workbooks(folder: str, sheets: Mapping[str, Sheet], by: str | None = None, name: str = "book", most_rows: int = MOST_ROWS) -> DataFrame:
     """Writes ``<folder>/<book>.xlsx`` for every value of column ``by`` (one workbook called ``name`` without it); each has all sheets.
 
-    Without an order a sheet keeps that of the frame, if it is the only workbook.
+    Without an order a sheet keeps that of the frame, if it is the only workbook. A sheet has ``most_rows``, its header included.
 
     Returns (book, path, n_rows, n_bytes), a row a workbook. Null is the workbook ``null``; ``/`` in a name becomes ``_``.
     """
@@ -270,13 +301,13 @@ def write_workbooks(folder: str, sheets: Mapping[str, Sheet], by: str | None = N
         keys = [F.col("book"), *(F.col(f"o{i}").asc_nulls_first() for i in range(len(sheet.order)))]
         rows = sheet.df.select(book.alias("book"), F.lit(no).alias("sheet_no"), row_xml(sheet.df, columns).alias("xml"), *(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(sheet.order)))
         dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if sheet.order else rows if by is None else rows.sortWithinPartitions("book")
-        parts.append(dealt.select("book", "sheet_no", "xml").mapInArrow(_fragments, FRAGMENTS))
+        parts.append(dealt.select("book", "sheet_no", "xml").mapInArrow(_fragmenter(most_rows), FRAGMENTS))
     spark = importable(parts[0].sparkSession)
     if by is None:  # a workbook without rows has its headers
         parts.append(spark.range(1).select(F.lit(name).alias("book"), F.lit(0).alias("sheet_no"), F.lit(-1).alias("part"), F.lit(0).alias("seq"), *(F.lit(0).cast("long").alias(c) for c in ("n_rows", "raw", "crc")), F.lit(b"").alias("data")))
     table = written(reduce(DataFrame.union, parts), "fragments")
     dealt = table.repartition("book").sortWithinPartitions("book", "sheet_no", "part", "seq").select("book", "sheet_no", "n_rows", "raw", "crc", "data")
-    made = written(dealt.mapInArrow(_assembler(folder, names, [header_xml(c) for c in shown]), WRITTEN), "workbooks")
+    made = written(dealt.mapInArrow(_assembler(folder, names, [header_xml(c) for c in shown], [s.continues for s in sheets.values()], most_rows), WRITTEN), "workbooks")
     for r in made.select("book", "path").toLocalIterator():  # a row a workbook
         _renamed(spark, r.path, f"{folder}/{r.book}.xlsx")
     return made.withColumn("path", F.concat(F.lit(f"{folder}/"), "book", F.lit(".xlsx")))

@@ -240,3 +240,27 @@ def test_a_document_is_one_file(spark):
     assert {r["count"] for r in files.collect()} == {1} and files.count() == 15
     seen = spreadsheetml.cells(spark, folder)
     assert seen.where("text = 'other'").count() == 0 and seen.where("row = 0").count() == 15
+
+
+def test_rows_beyond_a_sheet_go_on_in_further_ones(spark, tmp_path):
+    df = spark.range(250).select(F.col("id"), F.concat(F.lit("v"), "id").alias("it's"))
+    sheets = {"O'Neil": Sheet(df, ["id"], continues=True), "Plain": Sheet(df.where("id < 3"), ["id"]), "O'Neil (2)": Sheet(df.limit(0))}
+    write_workbooks(str(tmp_path), sheets, name="long", most_rows=101)
+    with zipfile.ZipFile(tmp_path / "long.xlsx") as z:
+        assert z.testzip() is None and sum(x.startswith("xl/worksheets") for x in z.namelist()) == 5
+    got = sheetreader.read(spark, str(tmp_path / "long.xlsx"), every_sheet=True)
+    assert got.rejects.count() == 0
+    found = {}
+    for r in got.rows.orderBy("sheet_no", "_row_no").collect():
+        found.setdefault((r.sheet_no, r.sheet), []).append((r._row_no, r.cells))
+    head = (0, ["id", "it's"])
+    assert found == {(0, "O'Neil"): [head, *((i + 1, [str(i), f"v{i}"]) for i in range(250))], (1, "Plain"): [head, *((i + 1, [str(i), f"v{i}"]) for i in range(3))], (2, "O'Neil (2)"): [head]}
+    with pytest.raises(Exception, match="a sheet holds"):
+        write_workbooks(str(tmp_path), {"S": Sheet(df, ["id"])}, most_rows=101)
+
+
+def test_blocks_of_a_batch_are_small():
+    """Spark's Parquet reader takes ``columnarReaderBatchSize`` blocks at once, whatever their width."""
+    xml = f'<worksheet xmlns="{MAIN}"><sheetData>' + "".join(f"<row><c><v>{i}</v></c></row>" for i in range(100_000)) + "</sheetData></worksheet>"
+    found = list(sheetreader.blocks_of(io.BytesIO(xml.encode()), "row", "sheetData"))
+    assert max(len(x) for _, x in found) * 4096 < 1 << 27

@@ -102,9 +102,9 @@ def grids(scheduled: DataFrame, keys: Sequence[str] = ("school", "session")) ->
 def timetable_workbook(folder: str, scheduled: DataFrame, incomplete: DataFrame | None = None, name: str = "Timetable") -> DataFrame:
     """K7: schedule, timetable, analysis and, where there is one, the incomplete data, as sheets of one workbook."""
     schedule, timetable, analysis = grids(scheduled)
-    sheets = {"Schedule": Sheet(schedule.withColumn("__less", -F.col("secs")), ["day", "__less", "time", "school", "session", "subject"], ["secs", "__less"]), "Timetable": Sheet(timetable, ["day", "time"]), "Analysis": Sheet(analysis, ["day", "time"])}
+    sheets = {"Schedule": Sheet(schedule.withColumn("__less", -F.col("secs")), ["day", "__less", "time", "school", "session", "subject"], ["secs", "__less"], continues=True), "Timetable": Sheet(timetable, ["day", "time"]), "Analysis": Sheet(analysis, ["day", "time"])}
     if incomplete is not None:
-        sheets["Incomplete Data"] = Sheet(incomplete, incomplete.columns[:1])
+        sheets["Incomplete Data"] = Sheet(incomplete, incomplete.columns[:1], continues=True)
     return write_workbooks(folder, sheets, name=name)
 
 

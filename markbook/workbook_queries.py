@@ -34,7 +34,7 @@ def named(rows: DataFrame) -> DataFrame:
 def months(t, spark) -> str:
     folder = local(spark)
     lines = t("lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_orderkey", "l_linenumber", c("l_quantity").cast("long").alias("quantity"), "l_returnflag", (c("l_discount") > 0.05).alias("reduced"), F.when(c("l_orderkey") % 3 > 0, F.concat(F.lit(" <Tax & "), c("l_linestatus"), F.lit("> "))).alias("note"))
-    write_workbooks(folder, {"Lines": Sheet(lines, ["l_orderkey", "l_linenumber", "quantity", "l_returnflag"]), "Sums": Sheet(lines.groupBy("month", "l_returnflag").agg(F.sum("quantity").alias("total")), ["l_returnflag"])}, "month")
+    write_workbooks(folder, {"Lines": Sheet(lines, ["l_orderkey", "l_linenumber", "quantity", "l_returnflag"], continues=True), "Sums": Sheet(lines.groupBy("month", "l_returnflag").agg(F.sum("quantity").alias("total")), ["l_returnflag"])}, "month")
     return folder
 
 
@@ -79,7 +79,7 @@ def exports(t, spark) -> DataFrame:
         F.when(odd, F.concat(F.lit("C"), c("o_custkey"))).otherwise(c("o_custkey").cast("string")).alias("Customer"), (c("o_orderstatus") == "F").alias("Done"), F.when(odd, F.lit(" ")).otherwise(F.lpad(c("o_orderkey").cast("string"), 12, "0")).alias("Code"), F.lit(None).cast("string").alias("Blank"),
     )
     folder = local(spark)
-    write_workbooks(folder, {"Orders": Sheet(rows, ["Order"])}, "y")
+    write_workbooks(folder, {"Orders": Sheet(rows, ["Order"], continues=True)}, "y")
     return sheetreader.read(spark, folder, pattern="*.xlsx").rows
 
 
@@ -121,11 +121,11 @@ def gracing_workbook(t, spark):
     cases = GR.graced_cases(sheet).withColumnsRenamed({"Student Number": "student", "Module Code": "module", "Module Desc": "description"})
     plain = GR.graced_cases(sheet)
     made = {
-        "gracing_processed": Sheet(GR.processed(sheet, GR.failed_students(sheet)).withColumnRenamed("Student Number", "student").select(*SHOWN["gracing_processed"], "seq"), ["student", "kind", "seq"], ["seq"]),
-        "gracing_cases": Sheet(cases.select(*SHOWN["gracing_cases"]), ["student", "module"]),
+        "gracing_processed": Sheet(GR.processed(sheet, GR.failed_students(sheet)).withColumnRenamed("Student Number", "student").select(*SHOWN["gracing_processed"], "seq"), ["student", "kind", "seq"], ["seq"], continues=True),
+        "gracing_cases": Sheet(cases.select(*SHOWN["gracing_cases"]), ["student", "module"], continues=True),
         "gracing_by_subject": Sheet(GR.subject_summary(plain).withColumnsRenamed({"Module Code": "module", "Module Desc": "description"}).select(*SHOWN["gracing_by_subject"]), ["module"]),
-        "gracing_by_student": Sheet(GR.student_summary(plain).withColumnRenamed("Student Number", "student").select(*SHOWN["gracing_by_student"]), ["student"]),
-        "gracing_failed": Sheet(GR.failed_students(sheet).withColumnRenamed("Student Number", "student"), ["student"]),
+        "gracing_by_student": Sheet(GR.student_summary(plain).withColumnRenamed("Student Number", "student").select(*SHOWN["gracing_by_student"]), ["student"], continues=True),
+        "gracing_failed": Sheet(GR.failed_students(sheet).withColumnRenamed("Student Number", "student"), ["student"], continues=True),
     }
     folder = local(spark)
     write_workbooks(folder, {GRACING[k]: v for k, v in made.items()}, name="Gracing")

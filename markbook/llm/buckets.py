@@ -1,17 +1,14 @@
-"""Links between members of buckets, linear in a bucket however large it is.
+"""Links between members of buckets: all that join components, without the pairs that the components make needless.
 
 A bucket of up to SMALL members is judged wholly: all its pairs. Pairing off a larger one costs its square, so it is linked
-through leaders: its smallest member first (mostly the same one in all buckets of a group, so few pairs differ), then a few
-of those that remain, picked by a hash that differs by bucket. The members of the bucket are judged against the leaders,
-and those that are alike are tied and don't remain.
-
-Members that remain go on to buckets of two keys, which their other keys give, and there meet the leaders
-among all members that share as many keys with them, so the likelier ones, tied or not. A member that shares so many with
-no other is done. At last, all members of buckets that hold more than one component are judged against up to ACROSS others
-of theirs, from other components.
-
-What can be missed is a link of two members of different components that share no small bucket, and neither of which was
-ever a leader in a bucket that they share. The tests measure it.
+through leaders: its smallest member first (mostly the same one in all buckets of a group, so few pairs differ), then, as
+the caller says, a few of those that remain, picked by a hash that differs by bucket. The members of the bucket are judged
+against the leaders, and those that are alike are tied and don't remain.
+
+The rest is judged exactly: in every bucket that still holds more than one component, all pairs of members of different ones.
+So of two members that share a bucket and are alike, both are in one component in the end: a pair that isn't judged is in
+one already. A bucket of one component, however large, costs its size; one whose members are all unlike costs its square, as
+an exact answer does, in joins of BLOCK members against the bucket, so that no task holds it.
 """
 
 from __future__ import annotations
@@ -24,7 +21,7 @@ from pyspark.sql import functions as F
 from markbook.llm.components import components
 from markbook.llm.storage import Counted
 
-LEADERS, DEEPEST, ACROSS, SMALL = 4, 2, 16, 6
+LEADERS, ROUNDS, BLOCK, SMALL = 4, 2, 256, 6
 Judge = Callable[[Counted, Counted], Counted]
 
 
@@ -77,48 +74,41 @@ class _Judged:
         return out
 
 
-def links(keys: DataFrame, judge: Judge, deepest: int = DEEPEST) -> DataFrame:
-    """Links (u, v) of a table of distinct (id, band).
+def links(keys: DataFrame, judge: Judge, rounds: int = ROUNDS) -> DataFrame:
+    """Links (u, v) of a table of distinct (id, band), after ``rounds`` of leaders.
 
     ``judge(pairs, ids)`` gives a table (u, v, ok) of pairs (u, v), all of whose members are in ``ids`` (id).
     """
-    index = keys.select("band", "id", F.array("band").alias("path"), F.lit(True).alias("remains"))
-    judged, whole = None, None
-    for depth in range(1, deepest + 1):
-        sizes = index.groupBy("band").agg(F.count("*").alias("n"), F.max("remains").alias("any")).where("n > 1 and any").select("band", (F.col("n") <= SMALL).alias("few"))
-        every = Counted(index.join(sizes, "band"), "buckets")
-        members = Counted(every.df.where("not few").drop("few"), "large")
-        if judged is None:
-            whole = members.df.select("band", "id")
-            judged = _Judged(judge, Counted(every.df.select("id").distinct(), "members"))
-        judged.ask(_pairs_of(every.df.where("few").select("band", "id")))
-        left, n = Counted(members.df.where("remains").select("band", "id"), "left"), 0
-        while left.n and n < 2:
-            heads = Counted(_leaders(left.df if n else members.df, n, LEADERS if depth == 1 else 1), "leaders")
-            side = members if depth == 1 else left
-            stars = Counted(side.df.join(heads.side(), "band").where("id <> leader").select("band", "id", *_pair("id", "leader")), "stars")
-            judged.ask(stars.df.select("u", "v").distinct())
-            tied, first = judged.tied(stars.df), heads.df.select("band", F.col("leader").alias("id"))
-            gone = Counted((first if tied is None else tied.union(first)).distinct(), "gone")
-            left = Counted(left.df.join(gone.side(), ["band", "id"], "left_anti"), "left")
-            n += 1
+    sizes = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    every = Counted(keys.select("band", "id").join(sizes, "band"), "buckets")
+    members = Counted(every.df.where(F.col("n") > SMALL), "large")
+    judged = _Judged(judge, Counted(every.df.select("id").distinct(), "members"))
+    judged.ask(_pairs_of(every.df.where(F.col("n") <= SMALL)))
+    left = members
+    for n in range(rounds):
         if not left.n:
             break
-        rest = Counted(left.df.select("band").distinct(), "bands")
-        pool = members.df.join(rest.side(), "band").select("band", "id", "path").join(left.side(left.df.withColumn("own", F.lit(True))), ["band", "id"], "left")
-        deeper = pool.join(keys.select("id", F.col("band").alias("other")), "id").where(~F.array_contains("path", F.col("other")))
-        deeper = deeper.groupBy("id", F.sort_array(F.concat("path", F.array("other"))).alias("path")).agg(F.max(F.coalesce("own", F.lit(False))).alias("remains"))
-        index = deeper.select(F.xxhash64("path").alias("band"), "id", "path", "remains")
-    if judged.parts:
-        judged.ask(_across(whole, Counted(components(judged.links()), "roots")))
-    return judged.links() if judged.parts else whole.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
-
-
-def _across(members: DataFrame, roots: Counted) -> DataFrame:
-    """Pairs (u, v) of members and leaders of other components, in the buckets that hold several."""
-    rooted = Counted(members.join(roots.side(), F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root")), "rooted")
+        heads = Counted(_leaders(left.df, n), "leaders")
+        stars = left.df.join(heads.side(), "band").where("id <> leader").select("band", "id", *_pair("id", "leader"))
+        if n + 1 == rounds:
+            judged.ask(stars.select("u", "v").distinct())
+            break
+        stars = Counted(stars, "stars")
+        judged.ask(stars.df.select("u", "v").distinct())
+        tied, first = judged.tied(stars.df), heads.df.select("band", F.col("leader").alias("id"))
+        gone = Counted((first if tied is None else tied.union(first)).distinct(), "gone")
+        left = Counted(left.df.join(gone.side(), ["band", "id"], "left_anti"), "left")
+    if members.n:
+        judged.ask(_across(members, Counted(components(judged.links()), "roots")))
+    return judged.links() if judged.parts else members.df.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+
+
+def _across(members: Counted, roots: Counted) -> DataFrame:
+    """Pairs (u, v) of all members of different components, in the buckets that hold several."""
+    rooted = members.df.join(roots.side(), F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+    rooted = Counted(rooted, "rooted")
     torn = rooted.df.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
-    rows = Counted(rooted.df.join(torn, "band"), "torn")
-    heads = _leaders(rows.df, 1, ACROSS).join(rows.df.select("band", F.col("id").alias("leader"), F.col("root").alias("other")), ["band", "leader"])
-    heads = Counted(heads, "leaders")
-    return rows.df.join(heads.side(), "band").where("root <> other").select(*_pair("id", "leader")).distinct()
+    rows = Counted(rooted.df.join(torn, "band").withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int")), "torn")
+    one = rows.df.select("band", "id", "root", F.pmod(F.xxhash64("id", "band"), "k").cast("int").alias("block"))
+    all_ = rows.df.select("band", F.col("id").alias("leader"), F.col("root").alias("other"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"))
+    return one.join(all_, ["band", "block"]).where("root < other").select(*_pair("id", "leader")).distinct()

@@ -8,8 +8,8 @@ Lines of one bucket are linked through leaders (``buckets``), verified by the ex
 sets. Linked lines are joined by distributed union-find, and the first line of a component stays: that of the smallest
 doc_id, then of the smallest line number there.
 
-A link is missed if no band is shared (at a likeness of 0.8: three in a thousand), or if it was never judged (``buckets``
-says when); the tests count both.
+A link is missed only if no band is shared (at a likeness of 0.8: three in a thousand); of lines that share one, all pairs of
+different components are judged, however large the bucket. ``deepest`` is the number of rounds of leaders before that.
 
 Signing and verifying run over Arrow batches, vectorised; all else is DataFrame expressions.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markbook.llm.arrowtools import pieces
-from markbook.llm.buckets import DEEPEST, links
+from markbook.llm.buckets import ROUNDS, links
 from markbook.llm.components import components
 from markbook.llm.storage import Counted, spread, unused, written
 
@@ -155,7 +155,7 @@ def _judge(docs: DataFrame, least: float):
     return run
 
 
-def dropped_lines(docs: DataFrame, least: float = LEAST, deepest: int = DEEPEST) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: float = LEAST, deepest: int = ROUNDS) -> DataFrame:
     """doc_id, dropped: the sorted numbers (from 0) of the lines that go, for every document with any."""
     every = _lines(docs)
     lines = written(signed(docs).groupBy("id").agg(F.min("first").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "lines")

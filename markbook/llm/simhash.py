@@ -15,7 +15,7 @@ differ in two bits at most), which needs 65 rows a member and no pair, and gives
 ``near_copies`` links texts whose sets of five-word shingles have a Jaccard likeness of ``least`` (0.8). 64 bits can't tell
 that (about ten differ), so it has fingerprints of POSITIONS bytes over the distinct two-word shingles, which an edit changes
 less: like texts share about 30 of 64 bytes, others one in 256 each. Postings are of three positions, 64 of them chosen so
-that no two have two positions in common; they are linked through leaders (``buckets``), a pair goes on with LEAST_SHARED
+that no two have two positions in common; they are linked through leaders, then all pairs of different components in them (``buckets``); a pair goes on with LEAST_SHARED
 shared bytes, and the exact likeness of the texts verifies it. Recall is that of the index, measured in the tests.
 """
 
@@ -237,7 +237,7 @@ def near_copies(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> Data
     rows = _rows(docs)
     prints = rows.mapInArrow(_printer, "id long, doc_id long, fp array<long>")
     prints = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "fingerprints")
-    roots = components(buckets.links(postings(prints), _judge(rows, prints, size, least), 1))  # with 64 keys a text, one depth: leaders differ by posting
+    roots = components(buckets.links(postings(prints), _judge(rows, prints, size, least), 1))  # with 64 keys a text, one round: leaders differ by posting
     rooted = prints.join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     place = F.struct(F.col("first").isNull(), "first", "id")
     best = rooted.groupBy("root").agg(F.min(place).alias("best"))

@@ -89,3 +89,25 @@ def test_texts_are_encoded_in_runs_of_bytes():
     texts = [b"a" * n for n in (10, 2000, 5, 5, 900, 0, 0, 1)]
     parts = list(tokenbin.balanced(texts, 1000))
     assert [t for p in parts for t in p] == texts and all(len(p) == 1 or sum(map(len, p)) <= 1000 for p in parts)
+
+
+def test_no_link_of_a_large_bucket_is_left_out(spark):
+    """Members of one bucket, each like one other only: whichever lead, all are linked; where all are alike no pair beside the leader's is judged."""
+    from markbook.llm import buckets
+    from markbook.llm.storage import Counted
+
+    keys = spark.range(600).select("id", F.lit(7).cast("long").alias("band"))
+    asked = []
+
+    def judge(ok):
+        def run(pairs, ids):
+            asked.append(pairs.n)
+            return Counted(pairs.df.withColumn("ok", F.expr(ok)), "pairs")
+
+        return run
+
+    for rounds in (1, 2):
+        got = {(r.u, r.v) for r in buckets.links(keys, judge("u - v = 300"), rounds).collect()}
+        assert got == {(i + 300, i) for i in range(300)}
+    asked.clear()
+    assert buckets.links(keys, judge("true"), 1).count() == 599 and sum(asked) == 599

@@ -15,8 +15,8 @@ differ in two bits at most), which needs 65 rows a member and no pair, and gives
 ``near_copies`` links texts whose sets of five-word shingles have a Jaccard likeness of ``least`` (0.8). 64 bits can't tell
 that (about ten differ), so it has fingerprints of POSITIONS bytes over the distinct two-word shingles, which an edit changes
 less: like texts share about 30 of 64 bytes, others one in 256 each. Postings are of three positions, 64 of them chosen so
-that no two have two positions in common; they are linked through leaders, then all pairs of different components in them (``buckets``); a pair goes on with LEAST_SHARED
-shared bytes, and the exact likeness of the texts verifies it. Recall is that of the index, measured in the tests.
+that no two have two positions in common; they are linked through leaders, then all pairs of different components in
+them (``buckets``); a pair goes on with LEAST_SHARED shared bytes, and the exact likeness of the texts verifies it. Recall is that of the index, measured in the tests.
 """
 
 from __future__ import annotations

@@ -5,13 +5,14 @@ all its character shingles are hashed, the hash range is cut into BINS, and the
 ROWS bins are keys, and lines that share a key are in one bucket.
 
 Lines of one bucket are linked through leaders (``buckets``), verified by the exact Jaccard likeness of their full shingle
-sets. Linked lines are joined by distributed union-find, and the first line of a component stays: that of the smallest
+sets, where the sketches of these don't rule it out. Linked lines are joined by distributed union-find, and the first line of a component stays: that of the smallest
 doc_id, then of the smallest line number there.
 
 A link is missed only if no band is shared (at a likeness of 0.8: three in a thousand); of lines that share one, all pairs of
-different components are judged, however large the bucket. ``deepest`` is the number of rounds of leaders before that.
+different components are judged, however large the bucket, each in the first of the buckets that they share. ``deepest`` is
+the number of rounds of leaders before that.
 
-Signing and verifying run over Arrow batches, vectorised; all else is DataFrame expressions.
+Signing, sketching and verifying run over Arrow batches, vectorised; all else is DataFrame expressions.
 
 Defined cases: a null text has no line; blank lines always stay; a line shorter than a shingle is like none but its
 copies; rows of one doc_id are one document, and each gets its row; a null doc_id is a document that comes first; an empty
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markbook.llm.arrowtools import pieces
-from markbook.llm.buckets import ROUNDS, links
+from markbook.llm.buckets import ROUNDS, SKETCH, links, may_be_alike, sketches
 from markbook.llm.components import components
 from markbook.llm.storage import Counted, spread, unused, written
 
@@ -141,25 +142,42 @@ def _verifier(least: float):
     return run
 
 
-def _judge(docs: DataFrame, least: float):
-    """Judges pairs of lines; the lines of buckets are put in a table once."""
-    texts: list[DataFrame] = []
+def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, 1, 1 << 20):
+            sizes, bits = sketches(*shingle_hashes(part.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, bits, part.column(2)], names=["id", "n", "bits", "bands"])
 
-    def run(pairs: Counted, ids: Counted) -> Counted:
-        if not texts:
-            texts.append(written(_lines(docs).select("id", "line").join(ids.side(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "texts"))
-        a, b = (texts[0].select(F.col("id").alias(x), F.col("line").alias(y)) for x, y in (("u", "a"), ("v", "b")))
-        met = pairs.df.join(a, "u").join(b, "v").select("u", "v", "a", "b").repartition(spread(pairs))
-        return Counted(met.mapInArrow(_verifier(least), "u long, v long, ok boolean"), "pairs")
 
-    return run
+class _Judge:
+    """Judges pairs of lines: by their sketches, then by their shingles. The lines of buckets are put in a table once."""
+
+    def __init__(self, docs: DataFrame, lines: DataFrame, least: float):
+        self.docs, self.lines, self.least = docs, lines, least
+        self.texts = self.facts = None
+
+    def likely(self, a: Column, b: Column, band: Column) -> Column:
+        return may_be_alike(a, b, self.least) & (F.array_min(F.array_intersect(a["bands"], b["bands"])) == band)
+
+    def __call__(self, pairs: Counted, ids: Counted) -> Counted:
+        if self.texts is None:
+            self.texts = written(_lines(self.docs).select("id", "line").join(ids.side(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "texts")
+            self.facts = written(self.texts.join(self.lines.select("id", "bands"), "id").mapInArrow(_sketcher, f"id long, {SKETCH}, bands array<long>"), "sketches")
+        own = F.struct("n", "bits")
+        a, b = (self.facts.select(F.col("id").alias(x), own.alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        tallied = Counted(pairs.df.join(a, "u").join(b, "v").select("u", "v", may_be_alike(F.col("a"), F.col("b"), self.least).alias("ok")), "tallied")
+        asked = Counted(tallied.df.where("ok").select("u", "v"), "retained")
+        a, b = (self.texts.select(F.col("id").alias(x), F.col("line").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        met = asked.df.join(a, "u").join(b, "v").select("u", "v", "a", "b").repartition(spread(asked))
+        return Counted(tallied.df.where("not ok").union(met.mapInArrow(_verifier(self.least), "u long, v long, ok boolean")), "pairs")
 
 
 def dropped_lines(docs: DataFrame, least: float = LEAST, deepest: int = ROUNDS) -> DataFrame:
     """doc_id, dropped: the sorted numbers (from 0) of the lines that go, for every document with any."""
     every = _lines(docs)
     lines = written(signed(docs).groupBy("id").agg(F.min("first").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "lines")
-    roots = components(links(lines.select("id", F.explode("bands").alias("band")), _judge(docs, least), deepest))
+    judge = _Judge(docs, lines, least)
+    roots = components(links(lines.select("id", F.explode("bands").alias("band")), judge, deepest, judge.likely, lambda: judge.facts))
     tied = roots.select(F.col("node").alias("id"), "root").union(roots.select(F.col("root").alias("id"), "root").distinct())
     known = lines.select("id", "first", "n").join(tied, "id", "left").where("n > 1 or root is not null").select("id", "first", F.coalesce("root", "id").alias("root"))
     kept = known.groupBy("root").agg(F.min("first").alias("home"))

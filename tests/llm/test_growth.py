@@ -111,3 +111,41 @@ def test_no_link_of_a_large_bucket_is_left_out(spark):
         assert got == {(i + 300, i) for i in range(300)}
     asked.clear()
     assert buckets.links(keys, judge("true"), 1).count() == 599 and sum(asked) == 599
+
+
+def test_sketches_rule_out_no_alike_sets(spark):
+    """Of sets with every likeness none that has the least is ruled out, and of unlike ones most are."""
+    from markbook.llm import buckets
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[: n - int(rng.integers(0, n // 3 + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)])
+        sets += [np.concatenate([a, a[:3]]), b]
+    n, bits = buckets.sketches(np.concatenate(sets), np.array([len(x) for x in sets]))
+    assert n.to_pylist() == [len(set(x.tolist())) for x in sets]
+    rows = [(i, (n[2 * i].as_py(), bits[2 * i].as_py()), (n[2 * i + 1].as_py(), bits[2 * i + 1].as_py())) for i in range(len(sets) // 2)]
+    df = spark.createDataFrame(rows, f"i int, a struct<{buckets.SKETCH}>, b struct<{buckets.SKETCH}>")
+    got = {r.i: r.ok for r in df.select("i", buckets.may_be_alike(F.col("a"), F.col("b"), 0.8).alias("ok")).collect()}
+    like = [len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist())) for a, b in zip(sets[::2], sets[1::2])]
+    assert all(got[i] for i, x in enumerate(like) if x >= 0.8) and sum(x >= 0.8 for x in like) > 50
+    assert sum(got[i] for i, x in enumerate(like) if x < 0.65) < 0.1 * sum(x < 0.65 for x in like)
+
+
+def test_unlike_lines_of_large_buckets_are_not_judged(spark, monkeypatch):
+    """Lines that share buckets by a phrase only: pairs of them are not verified one by one, and the alike ones among them are linked."""
+    from markbook.llm import linededup
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    lines = [f"{word()} and with {word()}" for _ in range(300)]
+    long = " ".join(word() for _ in range(40))
+    lines += [long, long + " end", "the " + long]
+    asked = []
+    spread = linededup.spread
+    monkeypatch.setattr(linededup, "spread", lambda pairs: asked.append(pairs.n) or spread(pairs))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in linededup.line_report(docs).where("n_kept = 0").collect()}
+    assert got == {301, 302} and sum(asked) < 300

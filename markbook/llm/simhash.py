@@ -16,7 +16,8 @@ differ in two bits at most), which needs 65 rows a member and no pair, and gives
 that (about ten differ), so it has fingerprints of POSITIONS bytes over the distinct two-word shingles, which an edit changes
 less: like texts share about 30 of 64 bytes, others one in 256 each. Postings are of three positions, 64 of them chosen so
 that no two have two positions in common; they are linked through leaders, then all pairs of different components in
-them (``buckets``); a pair goes on with LEAST_SHARED shared bytes, and the exact likeness of the texts verifies it. Recall is that of the index, measured in the tests.
+them (``buckets``); a pair goes on with LEAST_SHARED shared bytes and sketches of its shingles that don't rule it out, and the
+exact likeness of the texts verifies it. Recall is that of the index, measured in the tests.
 """
 
 from __future__ import annotations
@@ -186,22 +187,39 @@ def _verifier(size: int, least: float):
     return run
 
 
-def _printer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, 2, 4 << 20):
-            fp = [long_fingerprint(t) for t in as_bytes(part.column(2))]
-            offsets = pa.array(np.arange(len(fp) + 1) * (POSITIONS // 8), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(fp), pa.int64()))], names=["id", "doc_id", "fp"])
+def _printer(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 2, 4 << 20):
+                texts = as_bytes(part.column(2))
+                fp = [long_fingerprint(t) for t in texts]
+                offsets = pa.array(np.arange(len(fp) + 1) * (POSITIONS // 8), pa.int32())
+                got = [shingles(t, size) for t in texts]
+                hashes, counts = np.fromiter((h for x in got for h in x), np.uint64), np.fromiter(map(len, got), np.int64)
+                columns = [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(fp), pa.int64())), *buckets.sketches(hashes, counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "doc_id", "fp", "n", "bits"])
+
+    return run
+
+
+def _likely(least: float):
+    """Whether two texts of ``prints`` (structs) share enough bytes and their sketches don't rule a likeness of ``least`` out."""
+
+    def condition(a: Column, b: Column, band: Column | None = None) -> Column:
+        shared = sum((shared_bytes(F.get(a["fp"], F.lit(i)), F.get(b["fp"], F.lit(i))) for i in range(1, POSITIONS // 8)), shared_bytes(F.get(a["fp"], F.lit(0)), F.get(b["fp"], F.lit(0))))
+        return buckets.may_be_alike(a, b, least) & (shared >= LEAST_SHARED)
+
+    return condition
 
 
 def _judge(rows: DataFrame, prints: DataFrame, size: int, least: float):
-    """Judges pairs of texts: by the bytes that their fingerprints share, then by their shingles."""
+    """Judges pairs of texts: by the bytes that their fingerprints share and their sketches, then by their shingles."""
     held: list[DataFrame] = []  # tables of texts (id, text), of different ids
 
     def run(pairs: Counted, ids: Counted) -> Counted:
-        a, b = (prints.select(F.col("id").alias(x), F.col("fp").alias(y)) for x, y in (("u", "a"), ("v", "b")))
-        shared = sum(shared_bytes(F.get("a", F.lit(i)), F.get("b", F.lit(i))) for i in range(POSITIONS // 8))
-        tallied = Counted(pairs.df.join(a, "u").join(b, "v").select("u", "v", (shared >= LEAST_SHARED).alias("ok")), "tallied")
+        own = F.struct("fp", "n", "bits")
+        a, b = (prints.select(F.col("id").alias(x), own.alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        tallied = Counted(pairs.df.join(a, "u").join(b, "v").select("u", "v", _likely(least)(F.col("a"), F.col("b")).alias("ok")), "tallied")
         asked = Counted(tallied.df.where("ok").select("u", "v"), "retained")
         if not asked.n:
             return tallied
@@ -235,9 +253,10 @@ def near_copies(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> Data
     smallest hash. An empty table gives an empty table; other columns are ignored.
     """
     rows = _rows(docs)
-    prints = rows.mapInArrow(_printer, "id long, doc_id long, fp array<long>")
-    prints = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "fingerprints")
-    roots = components(buckets.links(postings(prints), _judge(rows, prints, size, least), 1))  # with 64 keys a text, one round: leaders differ by posting
+    prints = rows.mapInArrow(_printer(size), f"id long, doc_id long, fp array<long>, {buckets.SKETCH}")
+    prints = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("fp", "n", "bits"))), "fingerprints")
+    facts = prints.select("id", "fp", "n", "bits")
+    roots = components(buckets.links(postings(prints), _judge(rows, prints, size, least), 1, _likely(least), lambda: facts))  # with 64 keys a text, one round: leaders differ by posting
     rooted = prints.join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     place = F.struct(F.col("first").isNull(), "first", "id")
     best = rooted.groupBy("root").agg(F.min(place).alias("best"))

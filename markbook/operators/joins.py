@@ -35,10 +35,15 @@ def unmatched(df: DataFrame, side: DataFrame, keys: Sequence[str], show: Sequenc
     return df.join(side.select(*keys).distinct(), list(keys), "left_anti").select(*show).distinct()
 
 
+def first_of_kinds(kind: str, value: Column, wanted: Mapping[str, str], order: Sequence[str]) -> list[Column]:
+    """Aggregates: the first value of each wanted kind (kind: new name)."""
+    first = lambda k: F.min_by(F.when(F.col(kind) == k, value), F.when(F.col(kind) == k, F.struct(*order)))
+    return [first(k).alias(v) for k, v in wanted.items()]
+
+
 def siblings(df: DataFrame, keys: Sequence[str], kind: str, value: str, wanted: Mapping[str, str], order: Sequence[str]) -> DataFrame:
     """Per key the first value of each wanted kind (kind: new name), without a self-join."""
-    first = lambda k: F.min_by(F.when(F.col(kind) == k, F.col(value)), F.when(F.col(kind) == k, F.struct(*order)))
-    return df.groupBy(*keys).agg(*(first(k).alias(v) for k, v in wanted.items()))
+    return df.groupBy(*keys).agg(*first_of_kinds(kind, F.col(value), wanted, order))
 
 
 def against_baseline(df: DataFrame, keys: Sequence[str], base: Column, value: str, order: Sequence[str], name: str = "baseline") -> DataFrame:

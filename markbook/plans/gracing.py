@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from markbook.functions.numbers import failed, mark, mismatch, number, number_or_zero, scale_max
 from markbook.functions.text import joined, strip, text
 from markbook.operators.aggregates import listed, summary
-from markbook.operators.joins import siblings
+from markbook.operators.joins import first_of_kinds, siblings
 
 # Appraisal types and the status of a failed student (as the sheets spell it).
 INTERNAL, ACTUAL, GRACE, TOTAL_GRACE, SEMESTER, COMPOSITE, GRADE = "Internal Actual", "Sem Actual", "Sem Grace", "Grace on Total marks", "Semester Total Marks", "Composite Score", "Overall Grade"
@@ -55,9 +55,10 @@ def processed(df: DataFrame, students: DataFrame | None = None) -> DataFrame:
     own = modules(rows)
     keys = ["Student Number", "Module Code", "Module Desc"]
     kinds = {INTERNAL: "internal", ACTUAL: "actual", GRACE: "grace", TOTAL_GRACE: "total_grace", COMPOSITE: "composite", GRADE: "grade"}
-    wide = siblings(own, keys, TYPE, AFTER, kinds, [ROW]).join(siblings(own, keys, TYPE, "Scale", {k: f"{v}_scale" for k, v in kinds.items() if k != GRADE}, [ROW]), keys)
-    seq = own.groupBy(*keys).agg(F.min(ROW).alias("seq"), F.min_by("Credit", ROW).alias("credit"), F.min_by("General Remarks", ROW).alias("remarks"))
-    data = wide.join(seq, keys)
+    cells = first_of_kinds(TYPE, F.struct(F.col(AFTER).alias("after"), F.col("Scale").alias("scale")), kinds, [ROW])
+    rest = F.min_by(F.struct(F.col("Credit").alias("credit"), F.col("General Remarks").alias("remarks")), ROW).alias("rest")
+    wide = own.dropna(subset=keys).groupBy(*keys).agg(*cells, F.min(ROW).alias("seq"), rest)  # all of a module in one shuffle
+    data = wide.select(*keys, "seq", "rest.credit", "rest.remarks", *(F.col(f"{v}.after").alias(v) for v in kinds.values()), *(F.col(f"{v}.scale").alias(f"{v}_scale") for v in kinds.values()))
     for k in ("internal", "actual", "grace", "total_grace", "composite"):
         data = data.withColumns({f"m_{k}": mark(F.col(k)), f"max_{k}": scale_max(F.col(f"{k}_scale"))})
     bonus = F.coalesce(F.col("m_grace.value"), F.col("m_total_grace.value"))

@@ -211,3 +211,15 @@ def test_streaming_extra(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(total) from done").first()[0] == events.count()
+
+
+def test_gracing_gathers_a_module_once(spark):
+    """Rows of modules are gathered by one aggregate, without joins of their own; a module without a code isn't shown."""
+    from markbook.plans import gracing as GR
+
+    names = ["Student Number", "Student Name", "Additional ID", "Gender", "Module Code", "Module Desc", "Credit", GR.TYPE, GR.BEFORE, GR.AFTER, "Scale", "General Remarks", "Completion Status after Gracing"]
+    line = lambda code, kind, after, n: ("1", "n", None, "F", code, "d", "4", kind, "", after, "R050", "r", "Completed", n)
+    rows = [line("M", GR.ACTUAL, "31", 2), line("M", GR.ACTUAL, "30", 1), line("M", GR.GRADE, "P", 3), line(None, GR.ACTUAL, "9", 4)]
+    got = GR.processed(spark.createDataFrame(rows, ", ".join(f"`{x}` string" for x in names) + ", _row_no long"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert [(r.kind, r.actual, r.grade, r.remarks) for r in got.collect()] == [("HEADER", None, None, None), ("DATA", "30", "P", "r"), ("SUMMARY", None, None, None)]

@@ -57,8 +57,21 @@ def preferred(df: DataFrame, *candidates: str, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(*(F.nullif(F.trim(F.col(c)), F.lit("")) for c in candidates)))
 
 
+#: Rows of ``pairs_within`` that a task pairs off, about.
+ROWS_EACH = 250_000
+
+
 def pairs_within(df: DataFrame, group: str, node: str) -> DataFrame:
-    """The distinct node pairs a < b that share a group. Pairs of a group are what a conflict is."""
-    one = df.select(group, node).where(F.col(group).isNotNull() & F.col(node).isNotNull()).distinct()
+    """The distinct node pairs a < b that share a group. Pairs of a group are what a conflict is.
+
+    Rows are counted first and dealt by group in partitions of about ROWS_EACH, so that a task's memory doesn't grow with the table:
+    pairs are combined where they are made, and no partition is merged with others by its few bytes, which its pairs outgrow.
+    """
+    rows = df.select(group, node).where(F.col(group).isNotNull() & F.col(node).isNotNull())
+    n = rows.count()
+    if n > ROWS_EACH:
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(max(usual, -(-n // ROWS_EACH)), group)
+    one = rows.distinct()
     a, b = one.select(group, F.col(node).alias("a")), one.select(group, F.col(node).alias("b"))
     return a.join(b, group).where("a < b").select("a", "b").distinct()

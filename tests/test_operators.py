@@ -148,3 +148,18 @@ def test_waterfill():
     got = G.waterfill({"a": 1, "b": 1, "c": 8}, {"a": 20, "b": 5, "c": 5}, 100)
     assert got["a"] == 20 and abs(sum(got.values()) - 100) < 1e-9 and got["c"] > got["b"] >= 5
     assert abs(sum(G.waterfill({"a": 1, "b": 1}, {"a": 80, "b": 80}, 100).values()) - 100) < 1e-9
+
+
+def test_pairs_within_partitions_grow_with_the_rows(spark, monkeypatch):
+    from markbook.operators import joins
+
+    monkeypatch.setattr(joins, "ROWS_EACH", 100, raising=False)
+    rows = [(i // 4, i % 97) for i in range(2000)] + [(None, 1), (1, None), (0, 0)]
+    df = spark.createDataFrame(rows, "g int, n int")
+    pairs = joins.pairs_within(df, "g", "n")
+    groups = {}
+    for g, n in rows:
+        if g is not None and n is not None:
+            groups.setdefault(g, set()).add(n)
+    assert sorted(map(tuple, pairs.collect())) == sorted({(a, b) for x in groups.values() for a in x for b in x if a < b})
+    assert "hashpartitioning(g" in (plan := pairs._jdf.queryExecution().toString()) and "21), REPARTITION_BY_NUM" in plan

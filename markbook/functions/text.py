@@ -221,32 +221,53 @@ VIRAMA = "्"
 PIECE = "|".join([*sorted(CONSONANTS, key=len, reverse=True), *sorted(VOWELS, key=len, reverse=True)])
 
 
-def _lookup(piece: Column, pairs: dict[str, str]) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), piece)
+# A letter of A-Z a-z for each piece, so that a text of such words is spelt as a whole; ALONE and END are marks before a vowel and after a word.
+ALONE, END = "X", "V"
+_LONG = sorted((p for p in (*CONSONANTS, *VOWELS) if len(p) > 1), key=lambda p: (-len(p), not any(q != p and len(q) > 1 and q[0] == p[-1] for q in (*CONSONANTS, *VOWELS)), p))  # of two that overlap, that which starts first goes first
+CODES = {p: p for p in (*CONSONANTS, *VOWELS) if len(p) == 1} | dict(zip(_LONG, (x for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if x not in ALONE + END)))
 
 
-def devanagari(word: Column) -> Column:
-    """Latin letters to Devanagari, longest piece first; a consonant at the end is without its vowel.
+def _translated(s: Column, pairs: dict[str, str]) -> Column:
+    """``s`` with each letter replaced by its text: those of one code point or none in one pass."""
+    for k, v in pairs.items():
+        if len(v) > 1:
+            s = F.replace(s, F.lit(k), F.lit(v))
+    one, none = [k for k, v in pairs.items() if len(v) == 1], [k for k, v in pairs.items() if not v]
+    return F.translate(s, "".join([*one, *none]), "".join(pairs[k] for k in one))
+
+
+def _coded(s: Column) -> Column:
+    """``s`` with the letter of each piece, longest first."""
+    s = F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for p in _LONG:
+        s = F.replace(s, F.lit(p), F.lit(CODES[p]))
+    return s
 
-    A transducer whose only state is whether the piece before was a consonant, so each piece is spelt by itself and the one before.
+
+def _spelt(s: Column) -> Column:
+    """Words of nothing but letters of pieces in Devanagari; words without any stay.
+
+    A transducer whose only state is whether the piece before was a consonant: marks are put where a vowel follows no consonant
+    and where a consonant ends a word, and all letters are replaced.
     """
-    pieces = F.regexp_extract_all(F.lower(word), F.lit(PIECE), F.lit(0))
-    consonant = lambda p: _lookup(p, CONSONANTS)
-    signs, alone = ({k: v[i] for k, v in VOWELS.items()} for i in (0, 1))
+    consonants, vowels = ("".join(CODES[p] for p in x) for x in (CONSONANTS, VOWELS))
+    s = F.regexp_replace(s, f"(?<![{consonants}])(?=[{vowels}])", ALONE)
+    s = F.regexp_replace(s, f"(?<=[{consonants}])(?![A-Za-z])", END)
+    for p, (_, alone) in VOWELS.items():
+        s = F.replace(s, F.lit(ALONE + CODES[p]), F.lit(alone))
+    return _translated(s, {CODES[p]: x for p, x in CONSONANTS.items()} | {CODES[p]: sign for p, (sign, _) in VOWELS.items()} | {END: VIRAMA})
 
-    def spelt(p: Column, i: Column) -> Column:
-        opened = F.coalesce(consonant(F.get(pieces, i - 1)).isNotNull(), F.lit(False))
-        return F.coalesce(consonant(p), F.when(opened, _lookup(p, signs)).otherwise(_lookup(p, alone)))
 
-    end = F.when(consonant(F.try_element_at(pieces, F.lit(-1))).isNotNull(), VIRAMA).otherwise("")
-    return F.concat(F.array_join(F.transform(pieces, spelt), ""), end)
+def devanagari(word: Column) -> Column:
+    """Latin letters to Devanagari, longest piece first; a consonant at the end is without its vowel."""
+    return _spelt(F.regexp_replace(_coded(F.lower(word)), "[^A-Za-z]", ""))
 
 
 def transliterate(name: Column) -> Column:
-    """Every word of a name; a word without letters stays."""
-    letters = lambda w: F.regexp_replace(w, "[^A-Za-z]", "")
-    words = F.split(strip(name), r"\s+")
-    return F.when(name.isNotNull(), F.array_join(F.transform(words, lambda w: F.when(letters(w) == "", w).otherwise(devanagari(letters(w)))), " "))
+    """Every word of a name; a word without letters stays, one with letters is nothing but these."""
+    words = F.regexp_replace(strip(name), r"\s+", " ")
+    letters = F.regexp_replace(words, "(?<=[A-Za-z])[^A-Za-z ]+|(?<![^A-Za-z ])[^A-Za-z ]++(?=[A-Za-z])", "")
+    return F.when(name.isNotNull(), _spelt(_coded(letters)))
 
 
 def devanagari_word(word: str) -> str:

@@ -1,5 +1,8 @@
 """Scalar expressions on worked examples."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +75,18 @@ def test_transliteration(spark):
     assert value(spark, X.transliterate, None) is None
 
 
+def test_transliteration_of_whole_texts(spark):
+    """Every word as the driver's spelling has it, whatever stands around its letters, in a plan without a lambda over words."""
+    rng = random.Random(4)
+    letters = [*"abcdefghijklmnopqrstuvwxyzKHXVAangghhc", "\u0915", "\u00c9", "1", "-", "'", " ", "  "]
+    texts = ["ngh nghy kchh chhh aaai aaau X V -- \u0915 -a1- \u00c9", "-" * 20_000 + "b", ""] + ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(200)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.transliterate(F.col("t")).alias("out"))
+    for text, out in df.collect():
+        words = [(w, re.sub("[^A-Za-z]", "", w)) for w in re.split(" +", text.strip())]
+        assert out == " ".join(X.devanagari_word(x) if x else w for w, x in words)
+    assert "lambda" not in df._jdf.queryExecution().toString()
+
+
 PAGE = """Name of the Student : /ASHA K
 Student No. / Roll No. : 12345678 / A012
 Programme : B.Com

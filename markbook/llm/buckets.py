@@ -107,14 +107,15 @@ class _Judged:
 
 
 def links(keys: DataFrame, judge: Judge, rounds: int = ROUNDS, likely: Likely | None = None, facts: Callable[[], DataFrame] | None = None) -> DataFrame:
-    """Links (u, v) of a table of distinct (id, band), after ``rounds`` of leaders.
+    """Links (u, v) of a table of distinct (id, band), or (id, band, n) with the number of rows of a band, after ``rounds`` of leaders.
 
-    ``judge(pairs, ids)`` gives a table (u, v, ok) of pairs (u, v), all of whose members are in ``ids`` (id). ``likely(a, b, band)``
+    ``judge(pairs, ids)`` gives a table (u, v, ok) of all alike and any others of the pairs (u, v), all of whose members are in ``ids`` (id). ``likely(a, b, band)``
     is true of all pairs that are alike, at one band at least of those that they share, where a and b are rows (as structs) of
     the table (id, ...) that ``facts`` gives.
     """
-    sizes = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    every = Counted(keys.select("band", "id").join(sizes, "band"), "buckets")
+    if "n" not in keys.columns:
+        keys = keys.select("band", "id").join(keys.groupBy("band").agg(F.count("*").alias("n")), "band")
+    every = Counted(keys.select("band", "id", "n").where("n > 1"), "buckets")
     members = Counted(every.df.where(F.col("n") > SMALL), "large")
     judged = _Judged(judge, Counted(every.df.select("id").distinct(), "members"))
     judged.ask(_pairs_of(every.df.where(F.col("n") <= SMALL)))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markbook.llm.arrowtools import pieces
@@ -36,9 +36,14 @@ from markbook.llm.storage import Counted, spread, unused, written
 
 SIZE, SEED = 8, 42
 BINS, ROWS = 24, 3
+BANDS = [f"band{i}" for i in range(BINS // ROWS)]
 LEAST = 0.8
 FIRST = -(1 << 63)
 NONE = np.uint64((1 << 64) - 1)
+#: Bytes of text that a kernel takes at once: its arrays of 64-bit numbers stay in the processor's cache.
+PIECE = 1 << 18
+#: Cells of the bitmap of lines in buckets: 16 MB at most.
+CELLS = 1 << 27
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -92,7 +97,7 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
     for batch in batches:
-        for part in pieces(batch, 1, 1 << 20):
+        for part in pieces(batch, 1, PIECE):
             docs, lines = [], []
             for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 own = [x for x in (text or "").split("\n") if x.strip(" \t\x0b\f\r")]
@@ -100,16 +105,14 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines += own
             key, there = band_keys(lines)
             ids = np.array([digest(x.encode("utf-8", "surrogatepass"), SEED) for x in lines], np.uint64)
-            offsets = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids.view(np.int64)), pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[there].view(np.int64)))], names=["id", "first", "bands"]
-            )
+            keys = np.ascontiguousarray(key.T).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(docs, pa.int64()), *(pa.array(k, mask=~t) for k, t in zip(keys, there.T))], names=["id", "first", *BANDS])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """id, first (doc_id), bands (keys) of every line that isn't blank."""
+    """id, first (doc_id), band0, band1, ... (keys; null where a band isn't there) of every line that isn't blank."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
-    return docs.select(own.alias("first"), F.col("text").alias("text")).mapInArrow(_signer, "id long, first long, bands array<long>")
+    return docs.select(own.alias("first"), F.col("text").alias("text")).mapInArrow(_signer, ", ".join(f"{x} long" for x in ("id", "first", *BANDS)))
 
 
 def alike(a: list[str], b: list[str], least: float) -> list[bool]:
@@ -135,7 +138,7 @@ def alike(a: list[str], b: list[str], least: float) -> list[bool]:
 def _verifier(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 2, 1 << 20):
+            for part in pieces(batch, 2, PIECE):
                 ok = alike(part.column(2).to_pylist(), part.column(3).to_pylist(), least)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
 
@@ -144,11 +147,24 @@ def _verifier(least: float):
 
 def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, 1, 1 << 20):
+        for part in pieces(batch, 1, PIECE):
             sizes, bits = sketches(*shingle_hashes(part.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column(0), sizes, bits, part.column(2)], names=["id", "n", "bits", "bands"])
 
 
+def _texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, line, once each, of those of ``lines`` whose id is in ``ids`` (distinct).
+
+    A bitmap of the ids' cells, broadcast, leaves most other lines out before the shuffle, and copies are combined before it.
+    """
+    cell = F.pmod("id", F.lit(CELLS))
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bitmap"))
+    place = lines.withColumns({"bucket": F.bitmap_bucket_number(cell), "place": F.bitmap_bit_position(cell).cast("int")})
+    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright("place", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = place.join(F.broadcast(bitmaps), "bucket").where(F.getbit(byte, F.col("place").bitwiseAND(F.lit(7))) == 1)
+    return maybe.groupBy("id").agg(F.first("line").alias("line")).join(ids, "id")  # a semi-join would be moved below the bitmap
+
+
 class _Judge:
     """Judges pairs of lines: by their sketches, then by their shingles. The lines of buckets are put in a table once."""
 
@@ -161,29 +177,31 @@ class _Judge:
 
     def __call__(self, pairs: Counted, ids: Counted) -> Counted:
         if self.texts is None:
-            self.texts = written(_lines(self.docs).select("id", "line").join(ids.side(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "texts")
+            self.texts = written(_texts_of(_lines(self.docs).select("id", "line"), ids.df), "texts")
             self.facts = written(self.texts.join(self.lines.select("id", "bands"), "id").mapInArrow(_sketcher, f"id long, {SKETCH}, bands array<long>"), "sketches")
         own = F.struct("n", "bits")
         a, b = (self.facts.select(F.col("id").alias(x), own.alias(y)) for x, y in (("u", "a"), ("v", "b")))
-        tallied = Counted(pairs.df.join(a, "u").join(b, "v").select("u", "v", may_be_alike(F.col("a"), F.col("b"), self.least).alias("ok")), "tallied")
-        asked = Counted(tallied.df.where("ok").select("u", "v"), "retained")
+        likely = pairs.df.join(a, "u").join(b, "v").where(may_be_alike(F.col("a"), F.col("b"), self.least))
+        asked = Counted(likely.select("u", "v"), "retained")
         a, b = (self.texts.select(F.col("id").alias(x), F.col("line").alias(y)) for x, y in (("u", "a"), ("v", "b")))
         met = asked.df.join(a, "u").join(b, "v").select("u", "v", "a", "b").repartition(spread(asked))
-        return Counted(tallied.df.where("not ok").union(met.mapInArrow(_verifier(self.least), "u long, v long, ok boolean")), "pairs")
+        return Counted(met.mapInArrow(_verifier(self.least), "u long, v long, ok boolean"), "pairs")
 
 
 def dropped_lines(docs: DataFrame, least: float = LEAST, deepest: int = ROUNDS) -> DataFrame:
     """doc_id, dropped: the sorted numbers (from 0) of the lines that go, for every document with any."""
     every = _lines(docs)
-    lines = written(signed(docs).groupBy("id").agg(F.min("first").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "lines")
+    signs = signed(docs).groupBy("id").agg(F.min("first").alias("first"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in BANDS))  # numbers, so that no rows are sorted
+    lines = written(signs.select("id", "first", "n", F.array(*BANDS).alias("bands")), "lines")
     judge = _Judge(docs, lines, least)
-    roots = components(links(lines.select("id", F.explode("bands").alias("band")), judge, deepest, judge.likely, lambda: judge.facts))
+    keys = lines.select("id", F.explode("bands").alias("band")).where("band is not null").withColumn("n", F.count("*").over(Window.partitionBy("band")))
+    roots = components(links(keys, judge, deepest, judge.likely, lambda: judge.facts))
     tied = roots.select(F.col("node").alias("id"), "root").union(roots.select(F.col("root").alias("id"), "root").distinct())
     known = lines.select("id", "first", "n").join(tied, "id", "left").where("n > 1 or root is not null").select("id", "first", F.coalesce("root", "id").alias("root"))
     kept = known.groupBy("root").agg(F.min("first").alias("home"))
     named = Counted(known.join(kept, "root").select("id", "root", "home"), "classes")
     own = F.coalesce("doc_id", F.lit(FIRST))
-    met = every.select("doc_id", "no", "id").join(named.side(), "id")
+    met = every.select("doc_id", "no", "id").join(named.df, "id")
     by_class = met.groupBy("doc_id", "root").agg(F.sort_array(F.collect_set("no")).alias("at"), F.max(F.when(own == F.col("home"), 1).otherwise(0)).alias("here"))
     gone = by_class.select("doc_id", F.expr("slice(at, 1 + here, greatest(size(at) - here, 0))").alias("gone")).where("size(gone) > 0")
     return gone.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("gone"))).alias("dropped"))

@@ -149,3 +149,16 @@ def test_unlike_lines_of_large_buckets_are_not_judged(spark, monkeypatch):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     got = {r.doc_id for r in linededup.line_report(docs).where("n_kept = 0").collect()}
     assert got == {301, 302} and sum(asked) < 300
+
+
+def test_only_lines_of_buckets_are_shuffled_as_texts(spark):
+    """Lines that are in no bucket are left out by a bitmap before the shuffle, and copies of a line are combined."""
+    from markbook.llm import linededup
+
+    lines = spark.range(4000).selectExpr("concat('line ', id % 2000) line").selectExpr("xxhash64(line) id", "line")
+    ids = lines.where("id % 50 = 0").select("id").distinct()
+    got = linededup._texts_of(lines, ids)
+    want = {(r.id, r.line) for r in lines.where("id % 50 = 0").collect()}
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.index("Aggregate [id") < plan.index("getbit") < plan.index("bitmap_construct_agg")

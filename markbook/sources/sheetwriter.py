@@ -1,6 +1,6 @@
 """Workbooks (.xlsx) written by executors (K1-K7), in two phases; no row passes the driver.
 
-First the rows of every sheet become XML in column expressions, are dealt in ranges of their order and compressed in
+First the rows of every sheet are dealt in ranges of their order, become XML in column expressions and are compressed in
 fragments, each a run of rows of one sheet that ends on a byte, with its lengths and checksum. Spark commits them as a
 table. Then one task a workbook streams its fragments, in order, into one container: deflated fragments may stand one after
 the other, and their checksums combine. A container gets a name of its own for each attempt; the driver renames those that
@@ -16,6 +16,7 @@ are dropped. Containers are written through ``pyarrow.fs``, which must know the
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import struct
 import uuid
@@ -26,7 +27,9 @@ from functools import reduce
 from typing import BinaryIO
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,7 @@ from markbook.session import importable, written
 
 MOST_ROWS = 1_048_576
 CONTINUES = "_continues"
+BOOK = "_workbook of the row"  # a column beside those of a sheet
 FRAGMENT = 1 << 20
 # Names of the format.
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -45,6 +49,8 @@ OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+MARKUP = r"[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}&<>]"
+LEVEL = 3  # of compression
 
 FRAGMENTS = "book string, sheet_no int, part int, seq int, n_rows long, raw long, crc long, data binary"
 WRITTEN = "book string, path string, n_rows long, n_bytes long"
@@ -72,6 +78,7 @@ def cell_xml(value: Column, kind: T.DataType) -> Column:
     clean = F.regexp_replace(shown, NOT_XML, "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
         clean = F.replace(clean, F.lit(a), F.lit(b))
+    clean = F.when(shown.rlike(MARKUP), clean).otherwise(shown)
     inline = F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), clean, F.lit("</t></is></c>"))
     plain = F.concat(F.lit("<c><v>"), shown, F.lit("</v></c>"))
     if isinstance(kind, T.BooleanType):
@@ -94,7 +101,7 @@ def header_xml(columns: Sequence[str]) -> str:
 
 def deflated(raw: bytes, last: bool = False) -> bytes:
     """A fragment of a deflated stream, which ends on a byte; others may follow but for the last."""
-    press = zlib.compressobj(6, zlib.DEFLATED, -15)
+    press = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
     return press.compress(raw) + press.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH)
 
 
@@ -178,29 +185,43 @@ def package_parts(names: Sequence[str], of: Sequence[int | None] = ()) -> dict[s
     }
 
 
-def _fragmenter(most_rows: int):
-    """Runs of rows of one sheet of one workbook, compressed."""
+def _fragmenter(sheet_no: int, most_rows: int):
+    """Runs of rows of one sheet of one workbook, compressed. The XML of a batch's rows stands in one buffer, out of which runs are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, held, size, of = TaskContext.get().partitionId(), 0, [], 0, None
+        part, seq, held, size, n, of = TaskContext.get().partitionId(), 0, [], 0, 0, None
 
         def out() -> pa.RecordBatch:
-            raw = "".join(held).encode()
-            row = [of[0], of[1], part, seq, len(held), len(raw), zlib.crc32(raw), deflated(raw)]
+            raw = b"".join(held)
+            row = [of, sheet_no, part, seq, n, len(raw), zlib.crc32(raw), deflated(raw)]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["book", "sheet_no", "part", "seq", "n_rows", "raw", "crc", "data"])
 
         for batch in batches:
-            for book, sheet_no, xml in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if held and (size >= FRAGMENT or len(held) >= most_rows - 1 or of != (book, sheet_no)):
+            book, xml = batch.column(0), batch.column(1).cast(pa.large_string())
+            rows = batch.num_rows
+            if not rows:
+                continue
+            ends = np.frombuffer(xml.buffers()[1], np.int64)[xml.offset : xml.offset + rows + 1]
+            text = memoryview(xml.buffers()[2] or b"")
+            changes = np.flatnonzero(pc.not_equal(book[1:], book[:-1]).to_numpy(zero_copy_only=False)) + 1
+            for start, stop in itertools.pairwise([0, *changes.tolist(), rows]):
+                own = book[start].as_py()
+                if n and own != of:
                     yield out()
-                    held, size, seq = [], 0, seq + 1
-                of = (book, sheet_no)
-                held.append(xml)
-                size += len(xml)
-        if held:
+                    held, size, n, seq = [], 0, 0, seq + 1
+                of = own
+                while start < stop:
+                    if n and (size >= FRAGMENT or n >= most_rows - 1):
+                        yield out()
+                        held, size, n, seq = [], 0, 0, seq + 1
+                    full = int(np.searchsorted(ends, ends[start] + FRAGMENT - size))  # the row that makes a fragment full ends there
+                    upto = min(stop, max(full, start + 1), start + most_rows - 1 - n)
+                    held.append(bytes(text[ends[start] : ends[upto]]))
+                    size, n, start = size + len(held[-1]), n + upto - start, upto
+        if n:
             yield out()
 
     return run
@@ -298,10 +319,10 @@ def write_workbooks(folder: str, sheets: Mapping[str, Sheet], by: str | None = N
     parts = []
     for no, (sheet, columns) in enumerate(zip(sheets.values(), shown)):
         book = F.lit(name) if by is None else F.replace(F.coalesce(F.col(f"`{by}`").cast("string"), F.lit("null")), F.lit("/"), F.lit("_"))
-        keys = [F.col("book"), *(F.col(f"o{i}").asc_nulls_first() for i in range(len(sheet.order)))]
-        rows = sheet.df.select(book.alias("book"), F.lit(no).alias("sheet_no"), row_xml(sheet.df, columns).alias("xml"), *(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(sheet.order)))
-        dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if sheet.order else rows if by is None else rows.sortWithinPartitions("book")
-        parts.append(dealt.select("book", "sheet_no", "xml").mapInArrow(_fragmenter(most_rows), FRAGMENTS))
+        keys = [F.col(BOOK), *(F.col(f"`{c}`").asc_nulls_first() for c in sheet.order)]
+        rows = sheet.df.select(book.alias(BOOK), *(F.col(f"`{c}`") for c in dict.fromkeys([*columns, *sheet.order])))
+        dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if sheet.order else rows if by is None else rows.sortWithinPartitions(BOOK)
+        parts.append(dealt.select(BOOK, row_xml(dealt, columns).alias("xml")).mapInArrow(_fragmenter(no, most_rows), FRAGMENTS))
     spark = importable(parts[0].sparkSession)
     if by is None:  # a workbook without rows has its headers
         parts.append(spark.range(1).select(F.lit(name).alias("book"), F.lit(0).alias("sheet_no"), F.lit(-1).alias("part"), F.lit(0).alias("seq"), *(F.lit(0).cast("long").alias(c) for c in ("n_rows", "raw", "crc")), F.lit(b"").alias("data")))

@@ -12,7 +12,7 @@ from markbook.operators import scan as S
 from markbook.plan_queries import gracing_sheet
 from markbook.plans import gazette as GZ
 from markbook.plans import gracing as GR
-from markbook.session import shared_folder
+from markbook.session import shared_folder, written
 from markbook.sources import sheetreader, spreadsheetml
 from markbook.sources.sheetwriter import Sheet, write_workbooks
 
@@ -118,14 +118,14 @@ def _gracing_sql() -> str:
 def gracing_workbook(t, spark):
     """K3: processed students, graced cases, both summaries and the students who failed, as sheets of one workbook, read back."""
     sheet = gracing_sheet(t)
-    cases = GR.graced_cases(sheet).withColumnsRenamed({"Student Number": "student", "Module Code": "module", "Module Desc": "description"})
-    plain = GR.graced_cases(sheet)
+    failed, plain = written(GR.failed_students(sheet), "failed"), written(GR.graced_cases(sheet), "cases")  # each is used more than once
+    cases = plain.withColumnsRenamed({"Student Number": "student", "Module Code": "module", "Module Desc": "description"})
     made = {
-        "gracing_processed": Sheet(GR.processed(sheet, GR.failed_students(sheet)).withColumnRenamed("Student Number", "student").select(*SHOWN["gracing_processed"], "seq"), ["student", "kind", "seq"], ["seq"], continues=True),
+        "gracing_processed": Sheet(GR.processed(sheet, failed, ordered=False).withColumnRenamed("Student Number", "student").select(*SHOWN["gracing_processed"], "seq"), ["student", "kind", "seq"], ["seq"], continues=True),
         "gracing_cases": Sheet(cases.select(*SHOWN["gracing_cases"]), ["student", "module"], continues=True),
         "gracing_by_subject": Sheet(GR.subject_summary(plain).withColumnsRenamed({"Module Code": "module", "Module Desc": "description"}).select(*SHOWN["gracing_by_subject"]), ["module"]),
         "gracing_by_student": Sheet(GR.student_summary(plain).withColumnRenamed("Student Number", "student").select(*SHOWN["gracing_by_student"]), ["student"], continues=True),
-        "gracing_failed": Sheet(GR.failed_students(sheet).withColumnRenamed("Student Number", "student"), ["student"], continues=True),
+        "gracing_failed": Sheet(failed.withColumnRenamed("Student Number", "student"), ["student"], continues=True),
     }
     folder = local(spark)
     write_workbooks(folder, {GRACING[k]: v for k, v in made.items()}, name="Gracing")
